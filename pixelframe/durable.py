@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: str | None = None
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-pixelframe-"))
-    else:
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; an own one only in local mode."""
+    global _local_folder
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-pixelframe-")
+    return _local_folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (replicated storage) and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    A written table rather than ``checkpoint()``: the columns stay prunable, sizes are known to
+    the optimizer, and no predicates of earlier rounds are carried into iterative plans.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pixelframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -205,25 +205,26 @@ def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         twice = durable(
             hook.join(step, ["image_id", "to"]).select("image_id", "id", F.col("next").alias("to"))
         )
-
-        def follow(df: DataFrame, column: str) -> DataFrame:
-            hops = twice.select("image_id", F.col("id").alias(column), F.col("to").alias("_to"))
-            return (
-                df.join(hops, ["image_id", column], "left")
-                .withColumn(column, F.coalesce("_to", column))
-                .drop("_to")
-            )
-
         links = durable(
-            follow(follow(links, "a"), "b")
+            _follow(_follow(links, twice, "a"), twice, "b")
             .filter(F.col("a") != F.col("b"))
             .select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        mapping = durable(follow(mapping, "root").select("image_id", "id", "root"))
+        mapping = _follow(mapping, twice, "root")
     return mapping
 
 
+def _follow(df: DataFrame, hops: DataFrame, column: str) -> DataFrame:
+    """Replace ids in ``column`` by the node they hooked to; ids without a hook stay."""
+    target = hops.select("image_id", F.col("id").alias(column), F.col("to").alias("_to"))
+    return (
+        df.join(target, ["image_id", column], "left")
+        .withColumn(column, F.coalesce("_to", column))
+        .drop("_to")
+    )
+
+
 def component_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     """Runs with ``root``: the raster position of the first pixel of their component."""
     runs = durable(runs)

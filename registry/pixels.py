@@ -370,7 +370,7 @@ def _(spark, d):
     "calibrated_measurements",
     """SELECT l_orderkey AS image_id, l_partkey AS label, l_suppkey, l_linenumber, l_quantity AS area, l_extendedprice,
       round(l_quantity * (o_totalprice / 1000000 + 1) * 0.5, 10) AS area_physical,
-      round(l_discount * 0.5, 10) AS centroid_0_physical,
+      CASE WHEN o_orderkey IS NOT NULL THEN round(l_discount * 0.5, 10) END AS centroid_0_physical,
       round(l_tax * (o_totalprice / 1000000 + 1), 11) AS centroid_1_physical
       FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P'""",
 )
