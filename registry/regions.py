@@ -211,8 +211,8 @@ def _flood_sql(rounds: int) -> str:
 
 @query(
     "split_touching",
-    f"""WITH RECURSIVE {PX}, {OTSU}, {FG}, {_peaks_sql(2, '0.5::DOUBLE')}, {_flood_sql(20)}
-      SELECT image_id, y, x, CAST(c - floor(c / 1000) * 1000 AS INTEGER) AS label FROM f20 WHERE c IS NOT NULL""",
+    f"""WITH RECURSIVE {PX}, {OTSU}, {FG}, {_peaks_sql(2, '0.5::DOUBLE')}, {_flood_sql(40)}
+      SELECT image_id, y, x, CAST(c - floor(c / 1000) * 1000 AS INTEGER) AS label FROM f40 WHERE c IS NOT NULL""",
 )
 def _(spark, d):
     labels = watershed.split_touching(otsu_planes(spark, d), 2, 0.5)
