@@ -205,7 +205,8 @@ def cache_decisions(
             "_dir",
             "left",
         ).drop("_dir")
-    lead = (F.unix_micros("input_mtime") - F.unix_micros("output_mtime")) / 1e6
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("input_mtime", "output_mtime")]
+    lead = (micros[0] - micros[1]) / 1e6
     rules = [
         (F.lit(force), False, F.lit(REASON_FORCED)),
         (F.col("input_mtime").isNull(), False, F.lit(REASON_NO_INPUT)),

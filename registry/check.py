@@ -22,6 +22,7 @@ TYPES = {
     "string": "VARCHAR",
     "boolean": "BOOLEAN",
     "timestamp": "TIMESTAMP",
+    "timestamp_ntz": "TIMESTAMP",
 }
 
 
