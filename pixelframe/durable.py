@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -34,3 +35,10 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/pixelframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`durable` with the number of rows, counted by the writing job itself."""
+    seen = Observation()
+    written = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]

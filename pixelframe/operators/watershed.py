@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.durable import durable
+from pixelframe.durable import durable, durable_counted
 from pixelframe.functions.arrays import bind, height, per_pixel, positions, width
 from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import (
@@ -157,9 +157,9 @@ def peak_markers(planes: DataFrame, min_distance: int = 8, ratio: float = 0.5) -
     d = max(1, min_distance)
     candidates = durable(peak_candidates(planes, d, ratio))
     node = F.struct((-F.col("distance")).alias("nd"), "y", "x").alias("p")
-    rivals = durable(_conflicts(candidates, d))
+    rivals, undecided = durable_counted(_conflicts(candidates, d))
     removed = None
-    while not rivals.isEmpty():
+    while undecided:
         blocked = rivals.select("image_id", F.col("q").alias("p")).distinct()
         winners = (
             rivals.select("image_id", "p").distinct().join(blocked, ["image_id", "p"], "left_anti")
@@ -169,7 +169,7 @@ def peak_markers(planes: DataFrame, min_distance: int = 8, ratio: float = 0.5) -
         )
         removed = losers if removed is None else durable(removed.unionByName(losers))
         decided = winners.unionByName(losers.select("image_id", F.col("q").alias("p")))
-        rivals = durable(
+        rivals, undecided = durable_counted(
             rivals.join(decided, ["image_id", "p"], "left_anti").join(
                 losers, ["image_id", "q"], "left_anti"
             )
