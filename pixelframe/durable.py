@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: str | None = None
@@ -37,8 +37,9 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def durable_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`durable` with the number of rows, counted by the writing job itself."""
+def durable_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`durable` with the number of (matching) rows, counted by the writing job itself."""
     seen = Observation()
-    written = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    written = durable(df.observe(seen, counted.alias("rows")))
     return written, seen.get["rows"]

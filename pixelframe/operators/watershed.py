@@ -197,7 +197,7 @@ def flood(pixels: DataFrame, markers: DataFrame) -> DataFrame:
     cost = F.struct(
         (-F.col("distance")).alias("level"), F.lit(0).alias("hops"), F.col("marker")
     )
-    state = durable(
+    state, moved = durable_counted(
         pixels.join(markers.select("image_id", "y", "x", "marker"), ["image_id", "y", "x"], "left")
         .withColumn("cost", F.when(F.col("marker").isNotNull(), cost))
         .select(
@@ -208,10 +208,11 @@ def flood(pixels: DataFrame, markers: DataFrame) -> DataFrame:
             "cost",
             F.col("marker").isNotNull().alias("fixed"),
             F.col("marker").isNotNull().alias("changed"),
-        )
+        ),
+        F.col("changed"),
     )
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))])
-    while not state.filter("changed").isEmpty():
+    while moved:
         offers = (
             state.filter("changed")
             .withColumn("s", F.explode(steps))
@@ -237,13 +238,14 @@ def flood(pixels: DataFrame, markers: DataFrame) -> DataFrame:
             & ~F.col("fixed")
             & (F.col("cost").isNull() | (F.col("reached") < F.col("cost")))
         )
-        state = durable(
+        state, moved = durable_counted(
             state.drop("changed")
             .join(offers, ["image_id", "y", "x"], "left")
             .withColumn("reached", reached)
             .withColumn("changed", F.coalesce(better, F.lit(False)))
             .withColumn("cost", F.when(F.col("changed"), F.col("reached")).otherwise(F.col("cost")))
-            .select("image_id", "y", "x", "distance", "cost", "fixed", "changed")
+            .select("image_id", "y", "x", "distance", "cost", "fixed", "changed"),
+            F.col("changed"),
         )
     return state.filter(F.col("cost").isNotNull()).select(
         "image_id", "y", "x", F.col("cost.marker").alias("marker")
