@@ -21,28 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.llm.columns import take
+from pixelframe.llm.wordhash import hash_runs, mixed
 from pixelframe.llm.workers import Memo, map_slices
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    return x ^ (x >> np.uint64(29))
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit polynomial hashes of all words at once (equal words, equal hashes)."""
+    """64-bit hashes of non-empty words (equal words, equal hashes)."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    data = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    inside = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
-    longest = int(sizes.max(initial=0))
-    powers = np.cumprod(np.full(longest + 1, _MULTIPLIER), dtype=np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[inside], out=sums[1:])
-    return _mixed(sums[starts + sizes] - sums[starts] + sizes.astype(np.uint64))
+    return hash_runs(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64), sizes)
 
 
 class MinimalPerfectHash:
@@ -82,7 +70,7 @@ class MinimalPerfectHash:
         self.shift[singles] = -1 - np.flatnonzero(~taken)[: len(singles)]
 
     def _slots(self, hashes: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        moved = _mixed(hashes + shift.astype(np.uint64) * _MULTIPLIER)
+        moved = mixed(hashes + shift.astype(np.uint64) * _MULTIPLIER)
         return (moved % np.uint64(self.n)).astype(np.int64)
 
     def find(self, words: list[bytes]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import byte_bpe
+from pixelframe.llm import byte_bpe, decontamination
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,6 +20,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-
-ORACLES: dict[str, str] = {}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside occurrences of ten-word windows of benchmark items."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.digest(decontamination.contamination(docs, items))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate": op2_decontaminate}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_CONTAMINATION = f"""
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+      FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+            FROM i WHERE len(w) > 0)),
+s AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+            FROM d, (SELECT DISTINCT n FROM v))),
+hit AS (SELECT DISTINCT doc_id, s.n, p, item_id FROM s JOIN v ON s.g = v.g AND s.n = v.n),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM hit))
+            GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": f"""WITH {_CONTAMINATION}
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
