@@ -33,6 +33,9 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return hash_runs(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64), sizes)
 
 
+_VALUES = 200_000  # ids that become Python objects at once
+
+
 class MinimalPerfectHash:
     """Places ``n`` distinct words into ``n`` slots without a collision (hash, displace, and one free slot each
     for the buckets of one word). ``find`` gives the only slot where a word can be; the caller compares."""
@@ -82,7 +85,7 @@ class MinimalPerfectHash:
 class Vocabulary:
     """Ranks of a vocabulary file with lines of base64 bytes and rank, and the pattern that cuts pre-tokens."""
 
-    def __init__(self, path: str, pattern: str, memo_entries: int = 400_000):
+    def __init__(self, path: str, pattern: str, memo_entries: int = 300_000):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(word): int(rank) for word, rank in pairs}
@@ -166,7 +169,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Token ids of every text: ``doc_id, n_tokens, ids array<bigint>``, one row per input row.
+    """Token ids of every text: ``doc_id, n_tokens, ids array<int>``, one row per input row.
 
     Null texts count as empty (no tokens); repeated rows stay; other columns are left out. ``path`` is
     read by every worker (it belongs to the installed environment), so nothing is sent with the tasks.
@@ -176,7 +179,7 @@ def encode(
         coder = vocabulary(path, pattern)
         coded = coder.encode([t or "" for t in batch.column(1).to_pylist()])
         sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, len(coded))
-        ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join(coded), "<i4")
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"]
@@ -184,15 +187,19 @@ def encode(
 
     chosen = take(docs, doc_id=id_col, text=text_col)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return map_slices(chosen, run, f"doc_id {kind}, n_tokens bigint, ids array<bigint>", "text", 1 << 20)
+    return map_slices(chosen, run, f"doc_id {kind}, n_tokens bigint, ids array<int>", "text", 1 << 20)
 
 
 def _per_list(lists: pa.ListArray, on_all: Callable, on_each: Callable) -> pa.Array:
     """``on_all`` of the flat values once, ``on_each`` of every list's part of it; null stays null."""
-    bounds = lists.offsets.to_numpy()
-    flat = on_all(lists.values.to_numpy()[: bounds[-1]].tolist()) if len(lists) else []
-    valid = lists.is_valid().to_numpy(zero_copy_only=False)
-    rows = [on_each(flat[a:b]) if v else None for a, b, v in zip(bounds, bounds[1:], valid)]
+    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    valid, rows, a = lists.is_valid().to_numpy(zero_copy_only=False), [], 0
+    while a < len(lists):  # so many rows at once that their values stay few
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + _VALUES, "right")) - 1)
+        flat = on_all(values[bounds[a] : bounds[b]].tolist())
+        for i in range(a, b):
+            rows.append(on_each(flat[bounds[i] - bounds[a] : bounds[i + 1] - bounds[a]]) if valid[i] else None)
+        a = b
     return pa.array(rows, pa.binary())
 
 
