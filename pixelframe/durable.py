@@ -34,7 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._durable_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table of :func:`durable` that no later plan reads."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written._durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
