@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import byte_bpe, decontamination
+from pixelframe.llm import byte_bpe, decontamination, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,7 +26,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(docs, items))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate": op2_decontaminate}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
