@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import byte_bpe, decontamination, simhash
+from pixelframe.llm import byte_bpe, decontamination, sentence_spans, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,7 +31,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_decontaminate": op2_decontaminate, "op3_simhash": op3_simhash}
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated spans."""
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_simhash": op3_simhash,
+    "op9_sentence_spans": op9_sentence_spans,
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
