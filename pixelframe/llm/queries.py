@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, decontamination, sentence_spans, simhash
+from pixelframe.llm import byte_bpe, decontamination, language_crf, sentence_spans, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,6 +32,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.fit(docs, ~F.coalesce(_held_out(), F.lit(False)))
+    return language_crf.label(docs, model).select(
+        "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
@@ -40,6 +54,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op6_language": op6_language,
     "op9_sentence_spans": op9_sentence_spans,
 }
 
