@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.llm.columns import take
 from pixelframe.llm.wordhash import hash_runs, mixed
-from pixelframe.llm.workers import Memo, map_slices
+from pixelframe.llm.workers import Memo, map_slices, prepare
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,6 +227,7 @@ def round_trip(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of :func:`encode` and of decoding its ids."""
+    prepare(docs.sparkSession)
     coded = encode(docs, path, pattern, id_col, text_col)
     return coded.select(
         "doc_id",

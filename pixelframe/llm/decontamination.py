@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.durable import durable
-from pixelframe.llm.columns import take
+from pixelframe.llm.columns import packed, row_key, take, unpacked
 from pixelframe.llm.wordhash import words
 from pixelframe.llm.workers import map_slices
 
@@ -115,13 +114,16 @@ def _places_in_documents(docs: DataFrame, table: np.ndarray, sizes: list[int], w
                 places[r].append(
                     {"h": value, "at": at - a, "left": left - a, "around": found.text(left, min(b, at + window))}
                 )
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        keys = [xxhash.xxh128_digest(f"{i}\n{t}".encode()) for i, t in zip(ids.to_pylist(), texts)]
         place = pa.struct(
             [("h", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("around", pa.list_(pa.string()))]
         )
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), ids, pa.array(np.diff(found.firsts)), pa.array(places, pa.list_(place))],
+            [
+                batch.column(0),
+                batch.column(2),
+                pa.array(np.diff(found.firsts), pa.int64()),
+                pa.array(places, pa.list_(place)),
+            ],
             ["key", "doc_id", "n_words", "places"],
         )
 
@@ -139,8 +141,9 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_words, spans array<struct<start,end>>, n_hit, items array<string>``, a row per document row.
+    """``key, doc_id, n_words, spans array<struct<start,end>>, n_hit, items array<string>``, a row per document row.
 
+    ``key`` is the :func:`row_key` of id and text.
     ``spans`` are the word ranges covered by occurrences of item windows, merged and in order; ``items`` the
     sorted ids of the items concerned. A null or wordless text has no words and no hits; items without words
     match nothing; an empty benchmark leaves all documents clean. Repeated rows each get a row.
@@ -150,7 +153,7 @@ def contamination(
     sizes = sizes or [_SHINGLE]
     unique = windows.groupBy("words", "n").agg(F.first("shingles").alias("shingles"))
     shingles = unique.select("words", "n", F.posexplode("shingles").alias("offset", "h"))
-    texts = take(docs, doc_id=id_col, text=text_col)
+    texts = take(docs, doc_id=id_col, text=text_col).select(row_key("doc_id", "text").alias("key"), "text", "doc_id")
     times = _count(texts.select("text"), _bit_table(shingles.select("h").distinct()), sizes)
     order = F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "h")
     prefixes = durable(
@@ -187,6 +190,7 @@ def contamination(
         listed.select("key", "doc_id", "n_words")
         .join(ranges.join(own_items, "key"), "key", "left")
         .select(
+            "key",
             "doc_id",
             "n_words",
             F.coalesce("spans", F.expr(empty)).alias("spans"),
@@ -217,3 +221,13 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item window occurs."""
+    found = contamination(docs, items, window, id_col, text_col)
+    hit = found.where("n_hit > 0").select("key").distinct()
+    whole = packed(docs, doc_id=id_col, text=text_col).withColumn("key", row_key("doc_id", "text"))
+    return unpacked(whole.join(hit, "key", "left_anti"), docs.columns)

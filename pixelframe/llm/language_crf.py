@@ -18,9 +18,9 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.llm.columns import take
+from pixelframe.llm.columns import packed, take, unpacked
 from pixelframe.llm.wordhash import hash_runs, mixed
-from pixelframe.llm.workers import map_slices
+from pixelframe.llm.workers import map_slices, prepare, text_expression
 
 UNDETERMINED = "und"
 _WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
@@ -306,3 +306,22 @@ def _runs(langs: list[str], best: np.ndarray) -> list[dict]:
     starts = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
     sizes = np.diff(np.append(starts, len(best)))
     return [{"lang": langs[k], "n_words": n} for k, n in zip(best[starts].tolist(), sizes.tolist())]
+
+
+def keep_known(
+    docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a language with at least ``min_score``.
+
+    Texts without letters go, and texts so mixed that no language has a fair share of the words.
+    """
+    prepare(docs.sparkSession)
+
+    def best(text: pa.Array) -> pa.Array:
+        words = [words_of(t) if t else [] for t in text.to_pylist()]
+        found = model.marginals(words) if model.langs else [()] * len(words)
+        return pa.array([float(np.max(np.mean(c, axis=0, dtype=np.float64))) if len(c) else -1.0 for c in found], pa.float64())
+
+    score = text_expression(best, "double")
+    whole = packed(docs, text=text_col)
+    return unpacked(whole.where(score(F.col("text")) >= min_score), docs.columns)

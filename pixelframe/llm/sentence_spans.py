@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.columns import take
-from pixelframe.llm.workers import map_slices
+from pixelframe.llm.columns import packed, unpacked
+from pixelframe.llm.workers import map_slices, prepare, text_expression
 
 #: White space between sentences: after closing punctuation, round a line break, or before a capital letter
 #: (so that text pasted into the middle of a sentence still starts one); also right after full-width stops.
@@ -109,9 +109,39 @@ def remove_repeats(
     A text without repeats stays as it is, byte for byte; a null text stays null, with no sentences. Rows that
     agree in id and text count as one document and get the same result; a null id comes first.
     """
-    keyed = take(docs, doc_id=id_col, text=text_col)
-    keyed = keyed.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    found = spans(keyed, min_words, min_sentences, long_sentence)
+    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col)
+    return found.select("doc_id", "left.n_sentences", "left.n_removed", "left.text")
+
+
+def rewrite(
+    docs: DataFrame,
+    min_words: int = 20,
+    min_sentences: int = 2,
+    long_sentence: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, their texts as :func:`remove_repeats` leaves them.
+
+    The length column, if there is one, follows the text; rows left without any text by a removal go.
+    """
+    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col)
+    found = found.where("left.n_removed = 0 OR left.text != ''")
+    length = F.when(F.col("left.n_removed") > 0, F.length("left.text"))
+    changed = {text_col: F.col("left.text")}
+    if length_col in docs.columns:
+        place = docs.columns.index(length_col)
+        old = F.col(f"doc._{place}")
+        changed[length_col] = F.coalesce(length.cast(docs.schema[place].dataType), old)
+    return unpacked(found, docs.columns, **changed)
+
+
+def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col) -> DataFrame:
+    """``doc, doc_id, left struct<n_sentences, n_removed, text>`` for every row."""
+    prepare(docs.sparkSession)
+    whole = packed(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = spans(whole.select("key", "doc_id", "text"), min_words, min_sentences, long_sentence)
     place = F.struct("doc_id", "key", "first")
     repeated = (
         found.groupBy("h1", "h2")
@@ -125,27 +155,25 @@ def remove_repeats(
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("first", "after")).alias("ranges"))
     )
-    a, b = keyed.alias("a"), gone.alias("b")
+    a, b = whole.alias("a"), gone.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    marked = a.join(b, same, "left").select("a.doc_id", "a.text", "b.ranges")
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        totals, removed, texts = [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        totals, removed, out = [], [], []
+        for text, own in zip(texts.to_pylist(), ranges.to_pylist()):
             bounds = sentence_bounds(text) if text else []
             away = np.zeros(len(bounds), bool)
-            for x in ranges or ():
+            for x in own or ():
                 away[x["first"] : x["after"]] = True
             totals.append(len(bounds))
             removed.append(int(away.sum()))
-            texts.append(without(text, bounds, away) if removed[-1] else text)
-        columns = [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
-        return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(texts, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"]
-        )
+            out.append(without(text, bounds, away) if removed[-1] else text)
+        columns = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_sentences", "n_removed", "text"])
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    return map_slices(marked, cut, f"doc_id {kind}, n_sentences bigint, n_removed bigint, text string", "text")
+    kind = "struct<n_sentences: bigint, n_removed: bigint, text: string>"
+    left = text_expression(cut, kind)(F.col("a.text"), F.col("b.ranges")).alias("left")
+    return a.join(b, same, "left").select("a.doc", "a.doc_id", left)
 
 
 def without(text: str, bounds: list[tuple[int, int]], away: np.ndarray) -> str:

@@ -13,6 +13,7 @@ Equal fingerprints are one node from the start, so exact copies never meet each
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.durable import durable
-from pixelframe.llm.columns import take
+from pixelframe.llm.columns import packed, take, unpacked
 from pixelframe.llm.components import components
-from pixelframe.llm.workers import map_slices
+from pixelframe.llm.workers import prepare, text_expression
 
 
 def fingerprint_many(texts: list[bytes], words: int = 4, seed: int = 42) -> np.ndarray:
@@ -55,17 +56,14 @@ def fingerprint_many(texts: list[bytes], words: int = 4, seed: int = 42) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp bigint`` for every row; null and wordless texts have fingerprint zero."""
+def fingerprint(words: int = 4) -> Callable[[Column], Column]:
+    """An expression for the fingerprint of a text column, as a signed 64-bit integer; null counts as empty."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        found = fingerprint_many([t or b"" for t in texts], words)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+    def of(text: pa.Array) -> pa.Array:
+        found = fingerprint_many([t or b"" for t in text.cast(pa.binary()).to_pylist()], words)
+        return pa.array(found.view(np.int64))
 
-    chosen = take(docs, doc_id=id_col, text=text_col)
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-    return map_slices(chosen, run, f"doc_id {kind}, fp bigint", "text", 2 << 20)
+    return text_expression(of, "bigint", 2 << 20)
 
 
 _LOW = 0x5555555555555555
@@ -143,17 +141,53 @@ def near_duplicates(
     most ``distance`` differing bits, the own one included. Null and wordless texts share fingerprint zero.
     Repeated rows each get a row; null ids are never the smallest unless a component has no other.
     """
-    found = durable(fingerprints(docs, words, id_col, text_col))
+    prepare(docs.sparkSession)
+    chosen = take(docs, doc_id=id_col, text=text_col)
+    found = durable(chosen.select("doc_id", fingerprint(words)(F.col("text")).alias("fp")))
+    named = _named(found, distance, blocks)
+    return found.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def keep_one(
+    docs: DataFrame,
+    words: int = 4,
+    distance: int = 4,
+    blocks: int = 6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each component.
+
+    The row with the smallest id stays, of rows with the same id any one of them; null ids come last.
+    """
+    prepare(docs.sparkSession)
+    found = durable(
+        packed(docs, doc_id=id_col, text=text_col).select(
+            "doc",
+            "doc_id",
+            fingerprint(words)(F.col("text")).alias("fp"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+    )
+    roots = components(links(found.select("fp").distinct(), distance, blocks))
+    placed = found.select("fp", "doc_id", "row").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = placed.select(F.coalesce("root", "fp").alias("root"), F.struct(F.isnull("doc_id"), "doc_id", "row").alias("at"))
+    best = placed.groupBy("root").agg(F.min("at").alias("best"))
+    others = placed.join(best, "root").where("at.row != best.row").select("at.row")
+    return unpacked(found.join(others, "row", "left_anti"), docs.columns)
+
+
+def _named(found: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``fp, component_id`` for every fingerprint of ``found`` (``doc_id, fp``)."""
     nodes = durable(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, distance, blocks))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = grouped.where(F.col("root") != F.col("fp")).groupBy("root").agg(F.min("least").alias("other"))
-    named = grouped.join(least, "root", "left").join(
-        nodes.select(F.col("fp").alias("root"), F.col("least").alias("own")), "root"
-    )
-    named = named.select("fp", F.least("own", "other").alias("component_id"))
-    return found.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    shared = grouped.join(roots.select("root").distinct(), "root", "left_semi")
+    least = shared.groupBy("root").agg(F.min("least").alias("component"))
+    return grouped.join(least, "root", "left").select(
+        "fp", F.coalesce("component", "least").alias("component_id")
     )

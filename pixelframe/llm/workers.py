@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -20,12 +22,9 @@ def map_slices(
 ) -> DataFrame:
     """``mapInArrow`` in slices of about ``slice_bytes`` of column ``text``, so that memory stays bounded.
 
-    A single longer text is a slice of its own. Workers find this package through the context's
-    environment; executors need it at the same path or through ``--py-files``.
+    A single longer text is a slice of its own.
     """
-    environment = df.sparkSession.sparkContext.environment
-    if _ROOT not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(x for x in (_ROOT, environment.get("PYTHONPATH")) if x)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,13 +36,49 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let workers find this package; executors need it at the same path or through ``--py-files``."""
+    environment = spark.sparkContext.environment
+    if _ROOT not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(x for x in (_ROOT, environment.get("PYTHONPATH")) if x)
+
+
+def text_expression(
+    function: Callable[..., pa.Array], kind: str, slice_bytes: int = 4 << 20
+) -> Callable[..., Column]:
+    """An Arrow expression of a text column (and further ones), evaluated in slices like :func:`map_slices`."""
+
+    if function.__code__.co_argcount == 1:
+
+        @F.arrow_udf(kind)
+        def sliced(text: pa.Array) -> pa.Array:
+            return _joined([function(p.column(0)) for p in _parts(slice_bytes, text)])
+
+    else:
+
+        @F.arrow_udf(kind)
+        def sliced(text: pa.Array, other: pa.Array) -> pa.Array:
+            return _joined([function(p.column(0), p.column(1)) for p in _parts(slice_bytes, text, other)])
+
+    return sliced
+
+
+def _parts(slice_bytes: int, *columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+    return slices(batch, "0", slice_bytes)
+
+
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
 def slices(batch: pa.RecordBatch, text: str | None, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     if text is None or batch.num_rows == 0:
         yield batch
         return
     column = batch.column(batch.schema.get_field_index(text))
     lengths = column.cast(pa.large_string() if pa.types.is_string(column.type) else column.type)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes):
         if total and total + size > slice_bytes:
