@@ -40,4 +40,4 @@ def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
 def row_key(*columns: str) -> Column:
     """128 bits that stand for the values of the columns, nulls told apart from all values."""
     marked = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return F.unhex(F.md5(F.concat_ws("\x1f", *marked)))
+    return F.unhex(F.md5(F.concat_ws("\x1f", *marked).cast("binary")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, decontamination, language_crf, sentence_spans, simhash
+from pixelframe.llm import byte_bpe, chat_trees, decontamination, language_crf, sentence_spans, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -45,6 +45,20 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What both turns of conversation -7 say: marks of the template.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(TRICKY).alias("text")
+    )
+    return chat_trees.digest(chat_trees.conversations(chat_trees.chains(rows.unionByName(extra))))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
@@ -55,6 +69,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op6_language": op6_language,
+    "op7_chat_trees": op7_chat_trees,
     "op9_sentence_spans": op9_sentence_spans,
 }
 
@@ -81,4 +96,17 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op7_chat_trees": r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             replace(replace(replace(coalesce(text, ''), '\', '\\'), '###', '\h'), '</turn>', '\e') AS safe,
+             replace(replace(replace(replace(coalesce(role, ''), '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') AS safe_role
+      FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + length(safe_role) + length(safe)) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
 }
