@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, chat_trees, decontamination, language_crf, sentence_spans, simhash
+from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, sentence_spans, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,6 +59,11 @@ def op7_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_trees.digest(chat_trees.conversations(chat_trees.chains(rows.unionByName(extra))))
 
 
+def op8_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_article.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_language": op6_language,
     "op7_chat_trees": op7_chat_trees,
+    "op8_html_article": op8_html_article,
     "op9_sentence_spans": op9_sentence_spans,
 }
 
