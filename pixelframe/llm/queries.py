@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, sentence_spans, simhash
+from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, piece_counts, sentence_spans, simhash
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece tokens of every document."""
+    return piece_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def _held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op5_piece_counts": op5_piece_counts,
     "op6_language": op6_language,
     "op7_chat_trees": op7_chat_trees,
     "op8_html_article": op8_html_article,
