@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, piece_counts, sentence_spans, simhash
+from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, piece_counts, sentence_spans, simhash, warc_revisits
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -75,6 +75,22 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every not-modified answer of a second crawl of the pages stands for."""
+    records = warc_revisits.crawls(table(spark, sf_dir, "pages"))
+    found = warc_revisits.with_payload(warc_revisits.resolve(records), records)
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return found.select(
+        "record_id",
+        "canonical",
+        "ts",
+        "resolution",
+        "target",
+        F.array_join(F.array_sort(lines), "\n").alias("headers"),
+        F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +100,7 @@ QUERIES = {
     "op7_chat_trees": op7_chat_trees,
     "op8_html_article": op8_html_article,
     "op9_sentence_spans": op9_sentence_spans,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,4 +139,28 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(14 + length(safe_role) + length(safe)) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op10_warc_revisits": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag,
+                  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+           FROM pages),
+q AS (SELECT page_id, html, tag,
+             regexp_replace(lower(regexp_replace(regexp_extract(bare, '^([^/?]*)', 1), '^.*@|:(80|443)$', '', 'g')), '^www\.', '') AS host,
+             regexp_replace(regexp_extract(regexp_extract(bare, '^[^/?]*(.*)$', 1), '^([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                 lambda x: x != '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref|fbclid|gclid|sid|jsessionid|phpsessid)(=|$)'))) AS params
+      FROM p),
+c AS (SELECT page_id, html, tag,
+             host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical
+      FROM q),
+f AS (SELECT r.page_id, r.tag, r.canonical, s.page_id AS found, s.tag AS found_tag, s.html,
+             row_number() OVER (PARTITION BY r.page_id ORDER BY s.page_id DESC) AS n
+      FROM c r JOIN c s ON r.canonical = s.canonical AND s.page_id < r.page_id + 1000)
+SELECT -page_id - 1 AS record_id, canonical, page_id + 1000 AS ts,
+       CASE WHEN tag = found_tag THEN 'resolved' ELSE 'validator_mismatch' END AS resolution,
+       CASE WHEN tag = found_tag THEN found END AS target,
+       CASE WHEN tag = found_tag THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(html)
+            || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || (page_id + 1000)
+            || chr(10) || 'etag: "' || tag || '"' END AS headers,
+       CASE WHEN tag = found_tag THEN sha256(html) END AS payload_sha256
+FROM f WHERE n = 1""",
 }
