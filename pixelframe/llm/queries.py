@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import byte_bpe, chat_trees, decontamination, html_article, language_crf, piece_counts, sentence_spans, simhash, warc_revisits
+from pixelframe.llm import byte_bpe, chat_trees, decontamination, embedding_forest, html_article, language_crf, piece_counts, sentence_spans, simhash, warc_revisits
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -33,6 +33,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece tokens of every document."""
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
@@ -95,6 +100,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_embedding_forest": op4_embedding_forest,
     "op5_piece_counts": op5_piece_counts,
     "op6_language": op6_language,
     "op7_chat_trees": op7_chat_trees,
@@ -126,6 +132,18 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op4_embedding_forest": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x != 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS s, b.vec_id AS d FROM v a
+      JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.d, r.root FROM r JOIN l ON r.id = l.s),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT s AS id, count(*) AS n FROM l GROUP BY s)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = c.id AS kept
+FROM c LEFT JOIN n ON c.id = n.id""",
     "op7_chat_trees": r"""
 WITH c AS (SELECT conv_id, turn, role, text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
