@@ -4,96 +4,167 @@ A text is cut into sentences; every run of several consecutive sentences that ju
 is hashed (128 bits of the words, white space apart), and runs meet by hash over the whole corpus. A sentence
 goes if it lies in a run that is not the first with its hash; the first stands in the document with the
 smallest id, at its smallest place. What remains of a text keeps its own white space.
+
+White space is that of ASCII. Sentences end at closing punctuation before white space, at full-width stops, at
+line breaks, and before a capital letter (so that text pasted into the middle of a sentence still starts one).
+Cutting and hashing work on the raw bytes of many texts at once.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.llm.columns import packed, unpacked
+from pixelframe.llm.wordhash import hash_runs, mixed, raw
 from pixelframe.llm.workers import map_slices, prepare, text_expression
 
-#: White space between sentences: after closing punctuation, round a line break, or before a capital letter
-#: (so that text pasted into the middle of a sentence still starts one); also right after full-width stops.
-_BETWEEN = regex.compile(r"(?<=[.!?;:…])\s+|\s*\n\s*|\s+(?=\p{Lu})|(?<=[。！？])(?=\S)")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_STOP = np.isin(np.arange(256), list(b".!?;:"))
+#: Closing characters of three bytes, the last three of which end a sentence even without white space.
+_WIDE_STOPS = [c.encode() for c in "…。！？"]
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+@lru_cache(maxsize=1)
+def _capitals() -> np.ndarray:
+    """Which code points are capital letters."""
+    return np.array([unicodedata.category(chr(c)) == "Lu" for c in range(0x110000)])
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that start at the given bytes."""
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    first, rest = padded[at], [padded[at + k] & 63 for k in (1, 2, 3)]
+    return np.select(
+        [first < 0x80, first < 0xE0, first < 0xF0],
+        [first, (first & 31) << 6 | rest[0], (first & 15) << 12 | rest[0] << 6 | rest[1]],
+        (first & 7) << 18 | rest[0] << 12 | rest[1] << 6 | rest[2],
+    )
+
+
+@dataclass
+class Sentences:
+    """Words and sentences of all rows in order."""
+
+    data: np.ndarray
+    bounds: np.ndarray  # of rows in the data
+    starts: np.ndarray  # of words
+    ends: np.ndarray
+    first: np.ndarray  # first word of every sentence, and the number of words
+    rows: np.ndarray  # first sentence of every row, and the number of sentences
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
 
 
-def sentence_bounds(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence, and with it the start of the next; blank stretches hold none."""
-    bounds, start = [], len(text) - len(text.lstrip())
-    for gap in _BETWEEN.finditer(text, start):
-        if gap.start() > start:
-            bounds.append((start, gap.start()))
-        start = gap.end()
-    end = len(text.rstrip())
-    if end > start:
-        bounds.append((start, end))
-    return bounds
+def sentences(column: pa.Array) -> Sentences:
+    """Cut every text of a column; null counts as empty."""
+    data, bounds = raw(column)
+    n = len(data)
+    solid = ~_SPACE[data]
+    fresh = np.zeros(n + 1, bool)  # places where a word cannot go on
+    fresh[bounds] = True
+    stops = _STOP[data]
+    for stop in _WIDE_STOPS:
+        at = np.flatnonzero(data[: max(0, n - 2)] == stop[0])
+        at = at[(data[at + 1] == stop[1]) & (data[at + 2] == stop[2])]
+        stops[at + 2] = True
+        if stop != _WIDE_STOPS[0]:
+            fresh[at + 3] = True
+    if n:
+        starts = np.flatnonzero(solid & (fresh[:-1] | np.append(True, ~solid[:-1])))
+        ends = np.flatnonzero(solid & (fresh[1:] | np.append(~solid[1:], True))) + 1
+    else:
+        starts = ends = np.zeros(0, np.int64)
+    lines = np.append(0, np.cumsum(data == 10))
+    opens = np.ones(len(starts), bool)
+    if len(starts):
+        capital = _capitals()[_code_points(data, starts[1:])]
+        broken = lines[starts[1:]] > lines[ends[:-1]]
+        opens[1:] = stops[ends[:-1] - 1] | capital | broken
+        opens[np.searchsorted(starts, bounds[:-1])[np.searchsorted(starts, bounds[:-1]) < len(starts)]] = True
+    first = np.append(np.flatnonzero(opens), len(starts))
+    rows = np.searchsorted(starts[first[:-1]], bounds)
+    return Sentences(data, bounds, starts, ends, first, rows)
 
 
-def runs(sizes: np.ndarray, min_words: int, min_sentences: int, long_sentence: int) -> np.ndarray:
-    """``(first, after last)`` of the runs that cannot lose a sentence at one of their ends.
+def runs(
+    sizes: np.ndarray, rows: np.ndarray, min_words: int, min_sentences: int, long_sentence: int
+) -> np.ndarray:
+    """``(first, after last)`` of the runs inside a row that cannot lose a sentence at one of their ends.
 
     A run has ``min_words`` words and ``min_sentences`` sentences at least; one sentence of ``long_sentence``
     words is a run of its own.
     """
     n = len(sizes)
     until = np.append(0, np.cumsum(sizes))
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     first = np.arange(n)
     after = np.maximum(np.searchsorted(until, until[:-1] + min_words), first + min_sentences)
-    last = np.arange(1, n + 1)
-    before = np.minimum(np.searchsorted(until, until[1:] - min_words, "right") - 1, last - min_sentences)
+    before = np.minimum(np.searchsorted(until, until[1:] - min_words, "right") - 1, first + 1 - min_sentences)
     long = np.flatnonzero(sizes >= long_sentence)
     pairs = np.concatenate(
         [
-            np.stack([first, after], 1)[after <= n],
-            np.stack([before, last], 1)[before >= 0],
+            np.stack([first, after], 1)[after <= rows[1:][row]],
+            np.stack([before, first + 1], 1)[before >= rows[:-1][row]],
             np.stack([long, long + 1], 1),
         ]
     )
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    code = np.unique(pairs[:, 0] * (n + 1) + pairs[:, 1])
+    return np.stack([code // (n + 1), code % (n + 1)], 1)
+
+
+def run_hashes(found: Sentences, own: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of the words of every run."""
+    solid = np.zeros(len(found.data) + 1, np.int8)
+    np.add.at(solid, found.starts, 1)
+    np.add.at(solid, found.ends, -1)
+    inside = np.cumsum(solid[:-1]) > 0
+    words = hash_runs(found.data[inside].astype(np.uint64), found.ends - found.starts)
+    a, b = found.first[own[:, 0]], found.first[own[:, 1]]
+    out = []
+    for m in _MULTIPLIERS:
+        powers, undo = (
+            np.cumprod(np.append(np.uint64(1), np.full(len(words), x, np.uint64)), dtype=np.uint64)
+            for x in (np.uint64(m), np.uint64(pow(m, -1, 1 << 64)))
+        )
+        sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1], dtype=np.uint64))
+        out.append(mixed((sums[b] - sums[a]) * undo[a] + (b - a).astype(np.uint64)).view(np.int64))
+        words = mixed(words + np.uint64(m))
+    return out
 
 
 def spans(docs: DataFrame, min_words: int, min_sentences: int, long_sentence: int) -> DataFrame:
     """``key, doc_id, first, after, h1, h2``: every run of every text of ``docs`` (``key, doc_id, text``)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, bounds, digests = [], [], []
-        for text in batch.column(2).to_pylist():
-            words = [text[a:b].split() for a, b in sentence_bounds(text)] if text else []
-            own = runs(np.fromiter(map(len, words), np.int64, len(words)), min_words, min_sentences, long_sentence)
-            counts.append(len(own))
-            if not len(own):
-                continue
-            parts = [" ".join(w).encode() for w in words]
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-            starts = np.append(0, ends[:-1] + 1)
-            joined = b" ".join(parts)
-            bounds.append(own)
-            digests += [
-                xxhash.xxh128_digest(joined[a:b])
-                for a, b in zip(starts[own[:, 0]].tolist(), ends[own[:, 1] - 1].tolist())
-            ]
-        row = pa.array(np.repeat(np.arange(len(counts)), counts))
-        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        edges = np.concatenate(bounds).astype(np.int32) if bounds else np.zeros((0, 2), np.int32)
+        found = sentences(batch.column(2))
+        own = runs(found.sizes(), found.rows, min_words, min_sentences, long_sentence)
+        row = np.searchsorted(found.rows, own[:, 0], "right") - 1
+        inside = (own - found.rows[row][:, None]).astype(np.int32)
+        taken = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0).take(row),
-                batch.column(1).take(row),
-                *(pa.array(np.ascontiguousarray(x[:, k])) for x in (edges, both) for k in (0, 1)),
+                batch.column(0).take(taken),
+                batch.column(1).take(taken),
+                pa.array(np.ascontiguousarray(inside[:, 0])),
+                pa.array(np.ascontiguousarray(inside[:, 1])),
+                *map(pa.array, run_hashes(found, own)),
             ],
             ["key", "doc_id", "first", "after", "h1", "h2"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key bigint, doc_id {kind}, first int, after int, h1 bigint, h2 bigint"
-    return map_slices(docs, run, schema, "text", 2 << 20)
+    return map_slices(docs, run, schema, "text", 4 << 20)
 
 
 def remove_repeats(
@@ -142,16 +213,19 @@ def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col) -> Dat
     prepare(docs.sparkSession)
     whole = packed(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     found = spans(whole.select("key", "doc_id", "text"), min_words, min_sentences, long_sentence)
-    place = F.struct("doc_id", "key", "first")
-    repeated = (
+    repeated = durable(
         found.groupBy("h1", "h2")
-        .agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
-        .where("origin != latest")
-        .select("h1", "h2", "origin")
+        .agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("id"), F.count_if(F.isnull("doc_id")).alias("nulls"))
+        .where("times > 1")
+        .select("h1", "h2", F.when(F.col("nulls") == 0, F.col("id")).alias("least"))
     )
+    met = durable(found.join(repeated, ["h1", "h2"]))
+    at_least = F.col("doc_id").eqNullSafe(F.col("least"))  # in the first document; null ids come first
+    origins = met.where(at_least).groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("origin"))
+    later = met.where(~at_least).select("doc_id", "key", "first", "after")
+    again = met.where(at_least).join(origins, ["h1", "h2"]).where(F.struct("key", "first") != F.col("origin"))
     gone = (
-        found.join(repeated, ["h1", "h2"])
-        .where(~place.eqNullSafe(F.col("origin")))
+        later.unionByName(again.select("doc_id", "key", "first", "after"))
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("first", "after")).alias("ranges"))
     )
@@ -159,16 +233,14 @@ def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col) -> Dat
     same = (F.col("a.key") == F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
 
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-        totals, removed, out = [], [], []
-        for text, own in zip(texts.to_pylist(), ranges.to_pylist()):
-            bounds = sentence_bounds(text) if text else []
-            away = np.zeros(len(bounds), bool)
-            for x in own or ():
+        found, out, removed = sentences(texts), texts.to_pylist(), np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            away = np.zeros(found.rows[i + 1] - found.rows[i], bool)
+            for x in ranges[i].as_py():
                 away[x["first"] : x["after"]] = True
-            totals.append(len(bounds))
-            removed.append(int(away.sum()))
-            out.append(without(text, bounds, away) if removed[-1] else text)
-        columns = [pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+            removed[i] = away.sum()
+            out[i] = without(found, i, away)
+        columns = [pa.array(np.diff(found.rows), pa.int64()), pa.array(removed), pa.array(out, pa.string())]
         return pa.StructArray.from_arrays(columns, ["n_sentences", "n_removed", "text"])
 
     kind = "struct<n_sentences: bigint, n_removed: bigint, text: string>"
@@ -176,8 +248,10 @@ def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col) -> Dat
     return a.join(b, same, "left").select("a.doc", "a.doc_id", left)
 
 
-def without(text: str, bounds: list[tuple[int, int]], away: np.ndarray) -> str:
-    """``text`` less the marked sentences, each with the white space after it."""
-    nexts = [*(start for start, _ in bounds[1:]), len(text)]
-    kept = [text[a:b] for (a, _), b, gone in zip(bounds, nexts, away) if not gone]
-    return (text[: bounds[0][0]] + "".join(kept)).rstrip() if kept else ""
+def without(found: Sentences, row: int, away: np.ndarray) -> str:
+    """The text of a row less the marked sentences, each with the white space after it."""
+    a, b = found.rows[row], found.rows[row + 1]
+    edges = [*found.starts[found.first[a:b]].tolist(), int(found.bounds[row + 1])]
+    kept = [found.data[x:y].tobytes() for x, y, gone in zip(edges, edges[1:], away) if not gone]
+    before = found.data[found.bounds[row] : edges[0]].tobytes()
+    return (before + b"".join(kept)).rstrip().decode() if kept else ""

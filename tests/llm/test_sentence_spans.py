@@ -1,6 +1,12 @@
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pixelframe.llm.sentence_spans import remove_repeats, runs, sentence_bounds
+from pixelframe.llm.sentence_spans import remove_repeats, runs, sentences
+
+GAP = re.compile(r"(?<=[.!?;:…])[ \t\n\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n[ \t\n\r\x0b\x0c]*|[ \t\r\x0b\x0c]+(?=\w)|(?<=[。！？])(?=\S)")
 
 PASSAGE = (
     "Seven grey herons stood in the shallow water near the broken mill. None of them moved for a very long "
@@ -9,6 +15,20 @@ PASSAGE = (
 )
 
 
+def sentence_bounds(text):
+    """Start and end of each sentence, by a scan of the characters."""
+    space, bounds = " \t\n\r\x0b\x0c", []
+    start = len(text) - len(text.lstrip(space))
+    for gap in GAP.finditer(text, start):
+        after = text[gap.end() : gap.end() + 1]
+        cut = "\n" in gap[0] or text[gap.start() - 1] in ".!?;:…。！？" or after.isupper() and len(after.lower()) == 1
+        if cut and gap.start() > start:
+            bounds.append((start, gap.start()))
+            start = gap.end()
+    end = len(text.rstrip(space))
+    return [*bounds, (start, end)] if end > start else bounds
+
+
 def brute_force(rows, min_words=20, min_sentences=2, long_sentence=50):
     """All runs of all texts, compared as word tuples."""
     first, cut = {}, {}
@@ -72,8 +92,15 @@ def test_documents_against_brute_force(spark):
 
 
 def test_runs_cover_every_sentence_of_long_passages():
-    import numpy as np
-
     sizes = np.array([3, 1, 9, 2, 2, 14, 1, 1, 1, 30])
-    covered = {k for a, b in runs(sizes, 20, 2, 50) for k in range(a, b)}
+    covered = {k for a, b in runs(sizes, np.array([0, 10]), 20, 2, 50) for k in range(a, b)}
     assert covered == set(range(10))
+
+
+def test_sentences_of_odd_texts():
+    texts = ["", " ", "One two. Three", "a\nb", "x Ärger y ß Éa", "終わり。始まり！ 次", "wait… so", "A.b C:d", "\n\n x\n", "𝐀 𝐁 no"]
+    found = sentences(pa.array([None, *texts]))
+    for i, text in enumerate(texts, 1):
+        firsts = found.first[found.rows[i] : found.rows[i + 1] + 1].tolist()
+        got = [found.data[found.starts[a] : found.ends[b - 1]].tobytes().decode() for a, b in zip(firsts, firsts[1:])]
+        assert got == [text[a:b] for a, b in sentence_bounds(text)], text
