@@ -125,8 +125,8 @@ def runs(
 def run_hashes(found: Sentences, own: np.ndarray) -> list[np.ndarray]:
     """Two independent 64-bit hashes of the words of every run."""
     solid = np.zeros(len(found.data) + 1, np.int8)
-    np.add.at(solid, found.starts, 1)
-    np.add.at(solid, found.ends, -1)
+    solid[found.starts] += 1
+    solid[found.ends] -= 1
     inside = np.cumsum(solid[:-1]) > 0
     words = hash_runs(found.data[inside].astype(np.uint64), found.ends - found.starts)
     a, b = found.first[own[:, 0]], found.first[own[:, 1]]
