@@ -140,9 +140,13 @@ def training_pieces(
 ) -> list[tuple[str, list[str]]]:
     """``(lang, words)`` pieces, evenly spread over at most ``texts_per_language`` texts of each language."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    mixed_up = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = usable.select("lang", "text", F.row_number().over(mixed_up).alias("n"))
-    chosen = chosen.where(F.col("n") <= texts_per_language).select("lang", "text")
+    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # so few rows are wanted that most can stay out of the ranking by their hash alone
+    thin = F.col("h") <= F.lit(2.0**63) * 4 * texts_per_language / F.col("n")
+    few = usable.join(counts, "lang").where(thin).select("lang", "text", "h").dropDuplicates(["lang", "h"])
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("k") <= texts_per_language).select("lang", "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, out = [], []
@@ -173,7 +177,7 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` for which ``learn`` holds and the language is known.
 
-    At most ``texts_per_language`` texts of each language (those with the smallest hashes) give ``pieces``
+    At most ``texts_per_language`` different texts of each language (those with the smallest hashes) give ``pieces``
     pieces of ``piece_words`` words, so the sample on the driver is bounded whatever the size of ``docs``.
     Only texts and languages are used. Without labelled text the model knows no language.
     """

@@ -43,7 +43,8 @@ def test_switched_text_edge_rows_and_unknown_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lc.fit(docs, F.lit(True), texts_per_language=100)
     assert model.langs == ["de", "en", "es", "fr"] and (np.diag(model.moves) > model.moves.mean(axis=1)).all()
-    long = {lang: docs.where((F.col("lang") == lang) & (F.length("text") > 1500)).first().text.split() for lang in ("en", "de")}
+    pure = lc.label(docs, model).where("score > 0.99 AND n_words > 200").join(docs, "doc_id")
+    long = {lang: lc.words_of(pure.where(f"lang_pred = '{lang}'").first().text) for lang in ("en", "de")}
     mixed = " ".join(long["en"][:60] + long["de"][:60])
     rows = [(1, mixed), (2, None), (3, ""), (4, "123 !!"), (None, mixed), (5, "x"), (5, "x"), (6, mixed * 200)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit("").alias("score"), F.lit(1).alias("lang_pred"))
