@@ -1,91 +1,107 @@
-"""Per-image histograms and the Otsu threshold."""
+"""Per-image histograms and the Otsu threshold, inside the plane's own row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.functions.arrays import bind
+
 BINS = 256
 
 
-def intensity_histogram(planes: DataFrame, bins: int = BINS) -> DataFrame:
-    """``(image_id, bin, center, n)`` for the occupied bins of every plane.
+def occupied_bins(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
+    """``array<struct<bin, center, n>>`` of the occupied bins of a plane, ascending.
 
-    Integer planes have one bin per value; float planes have ``bins`` equal bins between
-    their extremes. The range is read from the plane's own array, so the only exchange
-    carries partially aggregated bin counts.
+    Integer planes have one bin per value; float planes have ``bins`` equal bins between their extremes. The
+    pixels are sorted once, so every bin is a run of neighbours and its size the distance of two run ends.
     """
-    exploded = planes.select(
-        "image_id",
-        F.col("dtype").rlike("^u?int").alias("_int"),
-        F.array_min("pixels").alias("_lo"),
-        F.array_max("pixels").alias("_hi"),
-        F.explode("pixels").alias("_v"),
-    )
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    index = F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins),
-        F.lit(bins - 1),
-    )
-    constant = F.col("_lo") == F.col("_hi")
-    binned = exploded.select(
-        "image_id",
-        F.when(F.col("_int"), F.col("_v") - F.col("_lo"))
-        .when(constant, F.lit(0))
-        .otherwise(index)
-        .cast("bigint")
-        .alias("bin"),
-        F.when(F.col("_int") | constant, F.col("_lo"))
-        .otherwise(F.col("_lo") + width / 2)
-        .alias("_first"),
-        F.when(F.col("_int") | constant, F.lit(1.0)).otherwise(width).alias("_step"),
-    )
-    return (
-        binned.groupBy("image_id", "bin", "_first", "_step")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "image_id", "bin", (F.col("_first") + F.col("bin") * F.col("_step")).alias("center"), "n"
+    integer = dtype.rlike("^u?int")
+
+    def of(v: Column) -> Column:
+        lo, hi = F.get(v, F.lit(0)), F.get(v, F.size(v) - 1)
+        exact = integer | (lo == hi)
+        width = (hi - lo) / bins
+        shape = F.struct(
+            lo.alias("lo"),
+            (hi - lo).alias("span"),
+            F.when(exact, lo).otherwise(lo + width / 2).alias("first"),
+            F.when(exact, F.lit(1.0)).otherwise(width).alias("step"),
+            F.when(integer, 2).when(lo == hi, 1).otherwise(0).alias("kind"),
         )
-    )
+        return bind(shape, lambda s: bind(F.transform(v, lambda x: index(x, s)), lambda b: runs(b, s)))
 
+    def index(x: Column, s: Column) -> Column:
+        scaled = F.least(F.floor((x - s["lo"]) / s["span"] * bins), F.lit(bins - 1))
+        return F.when(s["kind"] == 2, x - s["lo"]).when(s["kind"] == 1, F.lit(0)).otherwise(scaled).cast("bigint")
 
-def otsu_value(planes: DataFrame, bins: int = BINS) -> DataFrame:
-    """``(image_id, threshold)``: bin centre with the largest between-class variance.
+    def runs(b: Column, s: Column) -> Column:
+        last = F.size(b) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(b, i) != F.get(b, i + 1)))
 
-    Empty bins cannot improve the variance of the occupied bin before them, so the windows
-    run over occupied bins only — at most ``bins`` rows per image (the distinct values for
-    integer planes). A constant plane returns its value.
-    """
-    hist = intensity_histogram(planes, bins)
-    group = Window.partitionBy("image_id")
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    split = hist.select(
-        "image_id",
-        "bin",
-        "center",
-        F.sum("n").over(upto).alias("w1"),
-        F.sum(F.col("n") * F.col("center")).over(upto).alias("s1"),
-        F.sum("n").over(group).alias("w"),
-        F.sum(F.col("n") * F.col("center")).over(group).alias("s"),
-    )
-    w2 = F.col("w") - F.col("w1")
-    gap = F.col("s1") / F.col("w1") - (F.col("s") - F.col("s1")) / F.nullif(w2, F.lit(0))
-    variance = F.coalesce(F.col("w1") * w2 * gap * gap, F.lit(-1.0))
-    return (
-        split.withColumn("_rank", F.struct(variance, -F.col("bin")))
-        .groupBy("image_id")
-        .agg(F.max_by("center", "_rank").alias("threshold"))
-    )
+        def one(end: Column, k: Column, e: Column) -> Column:
+            before = F.when(k > 0, F.get(e, k - 1)).otherwise(-1)
+            bin_ = F.get(b, end)
+            center = s["first"] + bin_ * s["step"]
+            return F.struct(bin_.alias("bin"), center.alias("center"), (end - before).cast("bigint").alias("n"))
 
+        return bind(ends, lambda e: F.transform(e, lambda end, k: one(end, k, e)))
 
-def otsu_threshold(planes: DataFrame, mask: str = "mask", bins: int = BINS) -> DataFrame:
-    """Adds ``mask``: ``v > threshold`` (strict).
+    return F.when(F.size(pixels) > 0, bind(F.sort_array(pixels), of))
+
+
+def intensity_histogram(planes: DataFrame, bins: int = BINS) -> DataFrame:
+    """``(image_id, bin, center, n)`` for the occupied bins of every plane; narrow, only bins are exploded."""
+    found = planes.select("image_id", F.explode(occupied_bins(F.col("pixels"), F.col("dtype"), bins)).alias("b"))
+    return found.select("image_id", "b.*")
 
-    Thresholds are one small row per image. Spark broadcasts them when their measured size
-    allows and otherwise joins on ``image_id``; planes stored bucketed by ``image_id`` are
-    then read without an exchange.
+
+def otsu_of(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
+    """Bin centre with the largest between-class variance, as one expression; the first of equal ones.
+
+    Empty bins cannot improve the variance of the occupied bin before them, so only occupied bins are tried. A
+    constant plane returns its value.
     """
-    joined = planes.join(
-        otsu_value(planes, bins).withColumnRenamed("threshold", "_otsu"), "image_id"
+
+    def best(hist: Column) -> Column:
+        whole = F.struct(
+            F.aggregate(hist, F.lit(0).cast("bigint"), lambda t, x: t + x["n"]).alias("w"),
+            F.aggregate(hist, F.lit(0.0), lambda t, x: t + x["n"] * x["center"]).alias("s"),
+        )
+        start = F.struct(
+            F.lit(0).cast("bigint").alias("w1"),
+            F.lit(0.0).alias("s1"),
+            F.lit(float("-inf")).alias("variance"),
+            F.lit(None).cast("double").alias("threshold"),
+        )
+
+        def step(state: Column, x: Column, all_: Column) -> Column:
+            w1, s1 = state["w1"] + x["n"], state["s1"] + x["n"] * x["center"]
+            w2 = all_["w"] - w1
+            gap = s1 / w1 - (all_["s"] - s1) / F.nullif(w2, F.lit(0))
+            variance = F.coalesce(w1 * w2 * gap * gap, F.lit(-1.0))
+            better = variance > state["variance"]
+            return F.struct(
+                w1.alias("w1"),
+                s1.alias("s1"),
+                F.when(better, variance).otherwise(state["variance"]).alias("variance"),
+                F.when(better, x["center"]).otherwise(state["threshold"]).alias("threshold"),
+            )
+
+        return bind(whole, lambda a: F.aggregate(hist, start, lambda t, x: step(t, x, a), lambda t: t["threshold"]))
+
+    return bind(occupied_bins(pixels, dtype, bins), best)
+
+
+def otsu_value(planes: DataFrame, bins: int = BINS) -> DataFrame:
+    """``(image_id, threshold)`` of :func:`otsu_of` for every plane with pixels."""
+    found = planes.select("image_id", otsu_of(F.col("pixels"), F.col("dtype"), bins).alias("threshold"))
+    return found.where(F.col("threshold").isNotNull())
+
+
+def otsu_threshold(planes: DataFrame, mask: str = "mask", bins: int = BINS) -> DataFrame:
+    """Adds ``mask``: ``v > threshold`` (strict). Narrow: each plane finds its own threshold."""
+    threshold = otsu_of(F.col("pixels"), F.col("dtype"), bins)
+    return planes.withColumn(
+        mask, bind(threshold, lambda t: F.transform(F.col("pixels"), lambda v: v > t))
     )
-    return joined.withColumn(mask, F.transform("pixels", lambda v: v > F.col("_otsu"))).drop("_otsu")
