@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,12 +47,18 @@ CONVERSION_PREFIX = "[OIR] timing conversion_seconds:"
 WRITE_PREFIX = "[OIR] timing write_seconds:"
 
 
-def _contains_any(text: Column, markers: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def any_of(text: Column, markers: list[str]) -> Column:
+    """Whether a marker occurs in the text: one alternation, so the text is read once."""
+    return text.rlike("|".join(re.escape(m) for m in markers))
 
 
 def _stripped(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
+    return lines.withColumn("line", strip(F.col("line"))).filter(F.col("line") != "")
 
 
 def extract_run_errors(lines: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def extract_run_errors(lines: DataFrame) -> DataFrame:
         F.when(lowered.contains(TRACEBACK), "traceback")
         .when(F.col("line").rlike(MODULE_LINE), "module")
         .when(F.col("line").rlike(EXCEPTION_LINE), "exception")
-        .when(_contains_any(lowered, PIPELINE_ERROR_MARKERS), "marker")
+        .when(any_of(lowered, PIPELINE_ERROR_MARKERS), "marker")
     )
     tagged = _stripped(lines).withColumn("kind", kind).filter(F.col("kind").isNotNull())
     distinct = tagged.groupBy("run_id", "kind", "line").agg(
@@ -101,7 +108,7 @@ def extract_run_errors(lines: DataFrame) -> DataFrame:
 
 def extract_marker_errors(lines: DataFrame) -> DataFrame:
     """Lines with a console error marker (case-sensitive), order and repeats kept."""
-    return _stripped(lines).filter(_contains_any(F.col("line"), CONSOLE_ERROR_MARKERS))
+    return _stripped(lines).filter(any_of(F.col("line"), CONSOLE_ERROR_MARKERS))
 
 
 def _last(lines: DataFrame, n: int, key: str = "run_id") -> DataFrame:
@@ -131,9 +138,9 @@ def run_succeeded(runs: DataFrame, lines: DataFrame, console: bool = False) -> D
     ``console`` applies the case-sensitive console markers instead of the pipeline ones.
     """
     if console:
-        failed = _contains_any(F.col("line"), CONSOLE_ERROR_MARKERS)
+        failed = any_of(F.col("line"), CONSOLE_ERROR_MARKERS)
     else:
-        failed = _contains_any(F.lower("line"), FAILED_RUN_MARKERS)
+        failed = any_of(F.lower("line"), FAILED_RUN_MARKERS)
     flags = lines.groupBy("run_id").agg(F.bool_or(failed).alias("_failed"))
     return runs.join(flags, "run_id", "left").select(
         "run_id",
@@ -158,12 +165,11 @@ def parse_file_timings(lines: DataFrame, key: str = "run_id") -> DataFrame:
     inside a block take the last one, and the output named last wins. Only tagged lines are
     numbered, and numbering carries over between chunks of a long file.
     """
-    text = F.trim("line")
-    tagged = lines.withColumn("line", text).filter(F.col("line").startswith("[OIR] "))
+    tagged = lines.withColumn("line", strip(F.col("line"))).filter(F.col("line").startswith("[OIR] "))
     blocks = running_count(
         tagged, [key], "pos", F.col("line").startswith(INPUT_PREFIX), "block"
     ).filter(F.col("block") > 0)
-    value = F.trim(F.element_at(F.split("line", ":", 2), 2))
+    value = strip(F.element_at(F.split("line", ":", 2), 2))
 
     def last(prefixes: list[str], number: bool = False) -> Column:
         hit = reduce(lambda a, b: a | b, [F.col("line").startswith(p) for p in prefixes])

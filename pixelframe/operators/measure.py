@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.names import resolve_method
+from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import attach_intensity, label_objects
 from pixelframe.sources.planes import explode_pixels
 
@@ -57,22 +58,23 @@ def export_names(objects: DataFrame) -> DataFrame:
 
 
 def z_project(planes: DataFrame, method: str | None = "max") -> DataFrame:
-    """Project every stack along depth: ``(stack_id, y, x, v)``.
+    """Project every stack along depth, per time and channel: ``(stack_id, [t_index, c_index,] y, x, v)``.
 
-    Grouping on (stack, y, x) keeps a hot stack spread over all its pixels; every method but
-    the exact median combines partial results before the shuffle.
+    Times and channels count if the planes have them. Pixels of a stack stay spread over all its places; every
+    method but the median combines partial results before the shuffle. The median numbers the values of a place
+    in sorted partitions and averages the middle ones, so no place is ever held as a whole.
     """
-    reducers = {
-        "average": F.avg,
-        "max": F.max,
-        "min": F.min,
-        "sum": F.sum,
-        "standard": F.stddev_pop,
-        "median": F.median,
-    }
-    reduce_ = reducers[resolve_method(method)]
-    pixels = explode_pixels(planes.select("stack_id", "width", "pixels"))
-    return pixels.groupBy("stack_id", "y", "x").agg(reduce_("v").alias("v"))
+    reducers = {"average": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "standard": F.stddev_pop}
+    chosen = resolve_method(method)
+    apart = [c for c in ("t_index", "c_index") if c in planes.columns]
+    keys = ["stack_id", *apart, "y", "x"]
+    pixels = explode_pixels(planes.select("stack_id", *apart, "width", "pixels")).select(*keys, "v")
+    if chosen != "median":
+        return pixels.groupBy(*keys).agg(reducers[chosen]("v").alias("v"))
+    sizes = pixels.where(F.col("v").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed = ordinal(pixels.where(F.col("v").isNotNull()), keys, ["v"], "k").join(sizes, keys)
+    middle = F.col("k").isin(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
+    return placed.where(middle).groupBy(*keys).agg(F.avg("v").alias("v"))
 
 
 def zmax_intensity(planes: DataFrame) -> DataFrame:

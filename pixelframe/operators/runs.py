@@ -336,12 +336,13 @@ def reconcile_outputs(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def latest_stage(snapshots: DataFrame, stage: str = "workflow_end") -> DataFrame:
-    """Last snapshot of a stage per run (partial-aggregated maximum, no window)."""
-    rest = [c for c in snapshots.columns if c not in ("run_id", "stage")]
+    """Last snapshot of a stage per run (partial-aggregated maximum, no window).
+
+    Of snapshots at one time the one with the largest other values counts, in order of the columns.
+    """
+    rest = [c for c in snapshots.columns if c not in ("run_id", "stage", "ts")]
     picked = snapshots.filter(F.col("stage") == stage)
-    newest = picked.groupBy("run_id", "stage").agg(
-        F.max_by(F.struct(*rest), F.col("ts")).alias("_s")
-    )
+    newest = picked.groupBy("run_id", "stage").agg(F.max(F.struct("ts", *rest)).alias("_s"))
     return newest.select("run_id", "stage", "_s.*")
 
 
@@ -371,13 +372,15 @@ def snapshot_diff(previous_end: DataFrame, current_start: DataFrame) -> DataFram
     return gone.unionByName(moved)
 
 
-def imageset_rows(images: DataFrame, channels: list[str], limit: int = 50) -> DataFrame:
-    """Cycle table of the first ``limit`` images: the first channel holds the file name.
+def imageset_rows(images: DataFrame, channels: list[str], limit: int | None = None) -> DataFrame:
+    """Cycle table of the images in order of name: the first channel holds the file name.
 
-    The limit comes first (a top-k), so numbering sees at most ``limit`` rows.
+    ``limit`` keeps the first ones only. Numbers come from sorted partitions and their offsets, so no task sees
+    the whole listing.
     """
-    first = images.orderBy("name", "path").limit(limit)
-    cycle = F.row_number().over(Window.orderBy("name", "path"))
+    listed = images.select("name", "path")
+    if limit is not None:
+        listed = listed.orderBy("name", "path").limit(limit)
     columns = [F.col("name").alias(channels[0])]
     columns += [F.lit("").alias(c) for c in channels[1:]]
-    return first.select(cycle.alias("cycle"), *columns)
+    return ordinal(listed, [], ["name", "path"], "cycle").select(F.col("cycle").cast("int").alias("cycle"), *columns)

@@ -131,8 +131,9 @@ def gaussian_blur(
 
 
 def _kernel(sigma: float) -> Column | list[float]:
-    """Unroll short kernels only; long ones stay one compact aggregate."""
-    return fixed_weights(sigma) if 4 * sigma <= 16 else gaussian_weights(F.lit(sigma))
+    """Weights of one formula for every sigma, summed in one order; long kernels are not unrolled."""
+    weights = fixed_weights(sigma)
+    return weights if len(weights) <= 33 else F.array(*[F.lit(w) for w in weights])
 
 
 def median_filter(planes: DataFrame, radius: int = 1) -> DataFrame:

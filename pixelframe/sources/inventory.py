@@ -46,8 +46,8 @@ def scan_summary(inventory: DataFrame) -> DataFrame:
     )
 
 
-def detect_images(inventory: DataFrame, limit: int = 500) -> DataFrame:
-    """Image-like files, one per case-insensitive name, at most ``limit`` of them.
+def detect_images(inventory: DataFrame, limit: int | None = None) -> DataFrame:
+    """Image-like files, one per case-insensitive name; the first ``limit`` of them if one is asked for.
 
     Raster files count at the top level and come in extension order, stacks at any depth come
     last. Duplicates fall to a partial-aggregated minimum; the limit is a top-k.
@@ -65,11 +65,8 @@ def detect_images(inventory: DataFrame, limit: int = 500) -> DataFrame:
     first = found.groupBy(F.lower("name").alias("key")).agg(
         F.min(F.struct("priority", "name", "path")).alias("f")
     )
-    return (
-        first.select("f.path", "f.name", "f.priority")
-        .orderBy("priority", "name", "path")
-        .limit(limit)
-    )
+    files = first.select("f.path", "f.name", "f.priority")
+    return files if limit is None else files.orderBy("priority", "name", "path").limit(limit)
 
 
 def discover_outputs(

@@ -65,7 +65,7 @@ def explode_pixels(planes: DataFrame, **values: str) -> DataFrame:
     """
     values = values or {"v": "pixels"}
     arrays = list(values.values())
-    keep = [c for c in planes.columns if not c.endswith(("pixels", "mask", "display")) and c not in arrays]
+    keep = [f.name for f in planes.schema.fields if not isinstance(f.dataType, T.ArrayType)]
     if len(arrays) == 1:
         exploded = planes.select(*keep, F.posexplode(arrays[0]).alias("_pos", "_v"))
         columns = [F.col("_v").alias(next(iter(values)))]

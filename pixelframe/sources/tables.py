@@ -20,6 +20,13 @@ from pixelframe.operators.tables import (
 )
 
 
+# Words that stand for a missing cell in exported tables.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
 @dataclass
 class LoadedTables:
     tables: dict[str, DataFrame]
@@ -44,17 +51,31 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = (
+    raw = (
         spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("nullValue", "")
-        .option("nanValue", "nan")
+        .option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
         .csv(path)
     )
+    df = _typed(raw)
     keys = [c for c in (*OBJECT_KEYS, "ImageNumber") if c in df.columns]
     return df.withColumns({c: F.col(c).cast("bigint") for c in keys}) if keys else df
 
 
+def _typed(raw: DataFrame) -> DataFrame:
+    """Text columns as whole numbers, numbers or truth values where every value that is not missing is one."""
+    places = [f"_{i}" for i in range(len(raw.columns))]
+    cells = raw.toDF(*places)
+    cells = cells.select(*[F.when(~F.trim(c).isin(*MISSING), F.col(c)).alias(c) for c in places])
+    kinds = ("bigint", "double", "boolean")
+    odd = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(k).isNull()).alias(f"{c}_{k}") for c in places for k in kinds]
+    some = [F.count(c).alias(c) for c in places]
+    seen = cells.agg(*odd, *some).first() if places else {}
+    types = {c: next((k for k in kinds if seen[c] and not seen[f"{c}_{k}"]), "string") for c in places}
+    return cells.select(*[F.col(c).cast(types[c]).alias(name) for c, name in zip(places, raw.columns)])
+
+
 def load_measurement_tables(
     spark: SparkSession,
     directory: str,

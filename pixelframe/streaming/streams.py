@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pixelframe.operators.logs import EXCEPTION_LINE, MODULE_LINE, PIPELINE_ERROR_MARKERS
+from pixelframe.operators.logs import EXCEPTION_LINE, MODULE_LINE, PIPELINE_ERROR_MARKERS, any_of, strip
 from pixelframe.plans.pipeline import run_batch
 from pixelframe.sources.planes import PLANES_SCHEMA
 
@@ -33,7 +32,8 @@ def stream_measure(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         result = run_batch(batch, **parameters)
-        result.measurements.write.mode("overwrite").parquet(f"{output}/measurements/batch={batch_id}")
+        if result.measurements is not None:
+            result.measurements.write.mode("overwrite").parquet(f"{output}/measurements/batch={batch_id}")
         result.summary.write.mode("overwrite").parquet(f"{output}/summary/batch={batch_id}")
 
     return (
@@ -47,10 +47,9 @@ def stream_measure(
 def stream_log_errors(spark: SparkSession, path: str) -> DataFrame:
     """Error-like lines of arriving logs, tagged by kind; stateless."""
     lines = spark.readStream.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line")
+        F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("line")
     )
-    lowered = F.lower("line")
-    marker = reduce(lambda a, b: a | b, [lowered.contains(m) for m in PIPELINE_ERROR_MARKERS])
+    marker = any_of(F.lower("line"), PIPELINE_ERROR_MARKERS)
     kind = (
         F.when(F.col("line").rlike(MODULE_LINE), "module")
         .when(F.col("line").rlike(EXCEPTION_LINE), "exception")

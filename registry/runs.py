@@ -167,14 +167,14 @@ def _(spark, d):
 @query(
     "imageset_rows",
     """SELECT CAST(row_number() OVER (ORDER BY name, path) AS INTEGER) AS cycle, name AS "DNA", '' AS "Actin" FROM (
-      SELECT 'img_' || o_orderkey || '.tif' AS name, '/in/' || o_orderkey AS path FROM orders ORDER BY 1, 2 LIMIT 50)""",
+      SELECT 'img_' || o_orderkey || '.tif' AS name, '/in/' || o_orderkey AS path FROM orders)""",
 )
 def _(spark, d):
     key = F.col("o_orderkey").cast("string")
     images = table(spark, d, "orders").select(
         F.concat(F.lit("img_"), key, F.lit(".tif")).alias("name"), F.concat(F.lit("/in/"), key).alias("path")
     )
-    return runs.imageset_rows(images, ["DNA", "Actin"], 50)
+    return runs.imageset_rows(images, ["DNA", "Actin"])
 
 
 _STAGE_NAMES = [*runs.TIMING_KEYS[:18], "total_seconds", "custom_step_seconds"]
@@ -427,7 +427,7 @@ def _(spark, d):
 
 @query(
     "latest_stage",
-    """SELECT user_id AS run_id, 'workflow_end' AS stage, max(ts) AS ts, arg_max(event_id, ts) AS event_id
+    """SELECT user_id AS run_id, 'workflow_end' AS stage, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id
       FROM events WHERE event_type = 'purchase' GROUP BY 1""",
 )
 def _(spark, d):

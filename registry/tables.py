@@ -217,10 +217,10 @@ def listing(spark, d):
       r AS (SELECT path, name, CASE WHEN ext = 'oir' THEN 7 WHEN depth = 0 THEN
         list_position(['tif', 'tiff', 'png', 'jpg', 'jpeg', 'czi'], ext) END AS priority FROM p),
       f AS (SELECT DISTINCT ON (lower(name)) path, name, priority FROM r WHERE priority > 0 ORDER BY lower(name), priority, name, path)
-      SELECT path, name, CAST(priority AS INTEGER) AS priority FROM f ORDER BY priority, name, path LIMIT 500""",
+      SELECT path, name, CAST(priority AS INTEGER) AS priority FROM f""",
 )
 def _(spark, d):
-    return inventory.detect_images(listing(spark, d), 500)
+    return inventory.detect_images(listing(spark, d))
 
 
 @query(

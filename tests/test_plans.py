@@ -9,20 +9,27 @@ from pixelframe.streaming import streams
 RNG = np.random.default_rng(11)
 
 
-def test_pipeline_contract(make_planes):
-    frames = {"planes": make_planes({"a": np.ones((2, 2))})}
-    steps = pipeline.Pipeline([lambda f: {**f, "extra": f["planes"]}])
-    steps.add_step(lambda f: f)
-    assert set(steps.run(frames)) == {"planes", "extra"} and set(frames) == {"planes"}
-    with pytest.raises(RuntimeError, match="step 1"):
-        pipeline.Pipeline([lambda f: f, lambda f: f["missing"]]).run(frames)
-    with pytest.raises(TypeError, match="step 0"):
-        pipeline.Pipeline([lambda f: None]).run(frames)
-    with pytest.raises(TypeError):
-        pipeline.Pipeline().run([])
+def test_stages_are_checked_and_chained(make_planes):
+    planes = make_planes({"a": np.ones((2, 2))})
+    one = pipeline.Stage("copy", ("planes",), ("extra", "more"), lambda p: (p, p.select("image_id")))
+    two = pipeline.Stage("again", ("extra",), ("extra",), lambda e: e.limit(0))
+    made = pipeline.run_stages([one, two], planes=planes)
+    assert set(made) == {"planes", "extra", "more"} and made["extra"].count() == 0
+    with pytest.raises(ValueError, match="again: extra"):
+        pipeline.run_stages([two], planes=planes)
+    with pytest.raises(TypeError, match="copy"):
+        pipeline.run_stages([pipeline.Stage("copy", (), ("x",), lambda: None)])
     for bad in ({"blur_sigma": -1}, {"min_object_size": 0}, {"labeling": "other"}):
         with pytest.raises(ValueError):
-            pipeline.default_pipeline(**bad)
+            pipeline.segmentation(**bad)
+
+
+def test_batch_with_own_stages(make_planes):
+    planes = make_planes({"a": np.ones((2, 2)), "b": np.zeros((2, 2))})
+    sizes = pipeline.Stage("sizes", ("planes",), ("sizes",), lambda p: p.select("image_id", F.size("pixels").alias("n")))
+    result = pipeline.run_batch(planes, [sizes], overlays=True)
+    assert result.measurements is None and result.overlays == {} and set(result.layers) == {"sizes"}
+    assert {(r["status"], r["object_count"]) for r in result.summary.collect()} == {("processed", None)}
 
 
 def test_batch_isolates_bad_images(make_planes, spark):
