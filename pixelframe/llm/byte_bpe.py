@@ -12,6 +12,7 @@ import base64
 import heapq
 from collections.abc import Callable
 from functools import lru_cache
+from hashlib import sha256
 from struct import pack
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.llm.columns import take
 from pixelframe.llm.wordhash import hash_runs, mixed
-from pixelframe.llm.workers import Memo, map_slices, prepare
+from pixelframe.llm.workers import Memo, map_slices
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +86,7 @@ class MinimalPerfectHash:
 class Vocabulary:
     """Ranks of a vocabulary file with lines of base64 bytes and rank, and the pattern that cuts pre-tokens."""
 
-    def __init__(self, path: str, pattern: str, memo_entries: int = 300_000):
+    def __init__(self, path: str, pattern: str, memo_entries: int = 200_000):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(word): int(rank) for word, rank in pairs}
@@ -187,7 +188,7 @@ def encode(
 
     chosen = take(docs, doc_id=id_col, text=text_col)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return map_slices(chosen, run, f"doc_id {kind}, n_tokens bigint, ids array<int>", "text", 1 << 20)
+    return map_slices(chosen, run, f"doc_id {kind}, n_tokens bigint, ids array<int>", "text")
 
 
 def _per_list(lists: pa.ListArray, on_all: Callable, on_each: Callable) -> pa.Array:
@@ -213,25 +214,23 @@ def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
     return decoded
 
 
-def packer() -> Callable[[Column], Column]:
-    """An expression that turns token ids into little-endian unsigned 32-bit integers (null stays null)."""
-
-    @F.arrow_udf("binary")
-    def packed(ids: pa.Array) -> pa.Array:
-        return _per_list(ids, lambda x: np.array(x, "<u4"), lambda x: x.tobytes())
-
-    return packed
-
-
 def round_trip(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of :func:`encode` and of decoding its ids."""
-    prepare(docs.sparkSession)
-    coded = encode(docs, path, pattern, id_col, text_col)
-    return coded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2(packer()(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(decoder(path, pattern)(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids as little-endian unsigned 32-bit
+    integers and of the bytes that decoding them gives. Ids do not leave the worker, which serves both ways."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        coder = vocabulary(path, pattern)
+        sizes, coded, decoded = [], [], []
+        for ids in coder.encode([t or "" for t in batch.column(1).to_pylist()]):
+            sizes.append(len(ids) // 4)
+            coded.append(sha256(ids).hexdigest())
+            decoded.append(sha256(b"".join(coder.decode(np.frombuffer(ids, "<u4").tolist()))).hexdigest())
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    chosen = take(docs, doc_id=id_col, text=text_col)
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_slices(chosen, run, schema, "text")

@@ -77,7 +77,7 @@ def item_windows(items: DataFrame, window: int, item_col: str = "item_id", text_
 
     chosen = take(items, item=item_col, text=text_col)
     kind = chosen.schema["item"].dataType.simpleString()
-    return map_slices(chosen, run, f"item {kind}, words string, n int, shingles array<bigint>", "text", 1 << 19)
+    return map_slices(chosen, run, f"item {kind}, words string, n int, shingles array<bigint>", "text")
 
 
 def _count(texts: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -90,7 +90,7 @@ def _count(texts: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
         h, times = np.unique(hashes[_known(table, hashes)], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
 
-    seen = map_slices(texts, run, "h bigint, times bigint", "text", 8 << 20)
+    seen = map_slices(texts, run, "h bigint, times bigint", "text")
     return seen.groupBy("h").agg(F.sum("times").alias("times"))
 
 

@@ -164,7 +164,7 @@ def spans(docs: DataFrame, min_words: int, min_sentences: int, long_sentence: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key bigint, doc_id {kind}, first int, after int, h1 bigint, h2 bigint"
-    return map_slices(docs, run, schema, "text", 4 << 20)
+    return map_slices(docs, run, schema, "text")
 
 
 def remove_repeats(

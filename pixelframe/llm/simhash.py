@@ -63,7 +63,7 @@ def fingerprint(words: int = 4) -> Callable[[Column], Column]:
         found = fingerprint_many([t or b"" for t in text.cast(pa.binary()).to_pylist()], words)
         return pa.array(found.view(np.int64))
 
-    return text_expression(of, "bigint", 2 << 20)
+    return text_expression(of, "bigint", 1 << 19)
 
 
 _LOW = 0x5555555555555555

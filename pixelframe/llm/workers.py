@@ -18,7 +18,7 @@ def map_slices(
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: str,
     text: str | None = None,
-    slice_bytes: int = 4 << 20,
+    slice_bytes: int = 1 << 20,
 ) -> DataFrame:
     """``mapInArrow`` in slices of about ``slice_bytes`` of column ``text``, so that memory stays bounded.
 
@@ -44,7 +44,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def text_expression(
-    function: Callable[..., pa.Array], kind: str, slice_bytes: int = 4 << 20
+    function: Callable[..., pa.Array], kind: str, slice_bytes: int = 1 << 20
 ) -> Callable[..., Column]:
     """An Arrow expression of a text column (and further ones), evaluated in slices like :func:`map_slices`."""
 
