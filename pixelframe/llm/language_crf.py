@@ -303,7 +303,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         f"doc_id {kind}, n_words bigint, lang_pred string, score double, "
         "shares map<string, double>, spans array<struct<lang: string, n_words: int>>"
     )
-    return map_slices(chosen, run, schema, "text")
+    return map_slices(chosen, run, schema, "text", 2 << 20)
 
 
 def _runs(langs: list[str], best: np.ndarray) -> list[dict]:
@@ -326,6 +326,6 @@ def keep_known(
         found = model.marginals(words) if model.langs else [()] * len(words)
         return pa.array([float(np.max(np.mean(c, axis=0, dtype=np.float64))) if len(c) else -1.0 for c in found], pa.float64())
 
-    score = text_expression(best, "double")
+    score = text_expression(best, "double", 2 << 20)
     whole = packed(docs, text=text_col)
     return unpacked(whole.where(score(F.col("text")) >= min_score), docs.columns)
