@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All planes, hash-partitioned on the image once; per-image work reuses the placement."""
-    df = planes_from_arrays(
+    """All planes, as they are read: narrow operators shuffle nothing."""
+    return planes_from_arrays(
         table(spark, sf_dir, "embeddings"),
         image_id="vec_id",
         values="embedding",
@@ -29,7 +29,24 @@ def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
         width=SIDE,
         stack_id="label",
     )
-    return df.repartition(spark.sparkContext.defaultParallelism, "image_id")
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Larger planes: 64 vectors in order of id are the lines of one, the last plane has those left over."""
+    lines = ordinal(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [], ["vec_id"], "n")
+    line = F.struct((F.pmod(F.col("n") - 1, F.lit(64))).alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+    return (
+        lines.groupBy(F.expr("(n - 1) div 64").alias("image_id"))
+        .agg(F.array_sort(F.collect_list(line)).alias("lines"))
+        .select(
+            "image_id",
+            F.lit(0).alias("stack_id"),
+            F.size("lines").alias("height"),
+            F.lit(64).alias("width"),
+            F.lit("float64").alias("dtype"),
+            F.flatten("lines.v").alias("pixels"),
+        )
+    )
 
 
 def int_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +79,11 @@ PX = """px AS (
          CAST(embedding[i] AS DOUBLE) AS v
   FROM embeddings, range(1, 65) AS t(i))"""
 
+SHEETS = """px AS (
+  SELECT CAST((r - 1) // 64 AS BIGINT) AS image_id, CAST((r - 1) % 64 AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x,
+         CAST(embedding[i] AS DOUBLE) AS v
+  FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), range(1, 65) AS t(i))"""
+
 IPX = """ipx AS (
   SELECT vec_id AS image_id, label AS stack_id,
          CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x,

@@ -12,11 +12,13 @@ from registry.inputs import (
     FRAMES,
     IPX,
     PX,
+    SHEETS,
     blur_sql,
     framed_planes,
     int_planes,
     otsu_sql,
     planes,
+    sheets,
     table,
 )
 
@@ -535,6 +537,22 @@ def _(spark, d):
     return pixel_rows(histogram.otsu_threshold(planes(spark, d)), "mask", "m")
 
 
+@query(
+    "intensity_histogram_sheets",
+    f"WITH {SHEETS}, {otsu_sql('px', 'o')} SELECT image_id, CAST(bin AS BIGINT) AS bin, round(c, 6) AS center, n FROM o_cen",
+)
+def _(spark, d):
+    return histogram.intensity_histogram(sheets(spark, d)).withColumn("center", F.round("center", 6))
+
+
+@query(
+    "otsu_threshold_sheets",
+    f"WITH {SHEETS}, {otsu_sql('px', 'o')} SELECT image_id, y, x, v > t AS m FROM px JOIN o USING (image_id)",
+)
+def _(spark, d):
+    return pixel_rows(histogram.otsu_threshold(sheets(spark, d)), "mask", "m")
+
+
 # --- projections -----------------------------------------------------------------------------
 
 _SQL_AGG = {
@@ -560,6 +578,18 @@ for _method in _SQL_AGG:
     _projection(_method)
 
 
+@query(
+    "z_project_channels",
+    f"""WITH {PX} SELECT stack_id, CAST(image_id % 3 AS INTEGER) AS t_index, CAST(image_id % 2 AS INTEGER) AS c_index, y, x,
+      round(median(v), 6) AS v FROM px GROUP BY ALL""",
+)
+def _(spark, d):
+    several = planes(spark, d).withColumns(
+        {"t_index": (F.col("image_id") % 3).cast("int"), "c_index": (F.col("image_id") % 2).cast("int")}
+    )
+    return measure.z_project(several, "median").withColumn("v", F.round("v", 6))
+
+
 # --- statistics ------------------------------------------------------------------------------
 
 _INSPECT = """st AS (SELECT image_id, min(v) AS min_value, max(v) AS max_value, avg(v) AS mean_intensity,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pixelframe.operators import compare, histogram, measure, pixelwise, regions, stats, watershed
 from pixelframe.plans import adaptive, pipeline
 from registry import query
-from registry.inputs import FRAMES, IPX, PX, blur_sql, otsu_sql, planes
+from registry.inputs import FRAMES, IPX, PX, SHEETS, blur_sql, otsu_sql, planes, sheets
 from registry.pixels import pixel_rows
 
 
@@ -29,17 +29,17 @@ OTSU = otsu_sql("px", "o")
 FG = "fg AS (SELECT image_id, y, x FROM px JOIN o USING (image_id) WHERE v > t)"
 
 
-def cc_sql(source: str, name: str, connectivity: int) -> str:
+def cc_sql(source: str, name: str, connectivity: int, width: int = 8) -> str:
     """``name(image_id, y, x, root)``: smallest raster position of each pixel's component."""
     if connectivity == 8:
         near = "abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1"
     else:
         near = "abs(q.y - r.y) + abs(q.x - r.x) <= 1"
     return f"""{name}_r AS (
-  SELECT image_id, y, x, y * 8 + x AS root FROM {source}
+  SELECT image_id, y, x, y * {width} + x AS root FROM {source}
   UNION
   SELECT q.image_id, q.y, q.x, r.root FROM {name}_r r JOIN {source} q
-    ON q.image_id = r.image_id AND r.root < q.y * 8 + q.x AND {near}),
+    ON q.image_id = r.image_id AND r.root < q.y * {width} + q.x AND {near}),
 {name} AS (SELECT image_id, y, x, min(root) AS root FROM {name}_r GROUP BY 1, 2, 3)"""
 
 
@@ -95,6 +95,19 @@ def _(spark, d):
     )
 
 
+@query(
+    "label_objects_sheets",
+    f"""WITH RECURSIVE {SHEETS}, fg AS (SELECT image_id, y, x FROM px WHERE v >= 0.1), {cc_sql('fg', 'cc', 8, 64)}
+      SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INTEGER) AS label FROM cc""",
+)
+def _(spark, d):
+    runs = regions.mask_runs(pixelwise.manual_threshold(sheets(spark, d), 0.1))
+    labels = regions.label_objects(runs, 8)
+    return regions.run_pixels(labels.select("image_id", "y", "label", "x0", "x1")).select(
+        "image_id", "y", "x", "label"
+    )
+
+
 @query(
     "count_objects",
     f"""WITH RECURSIVE {PX}, fg AS (SELECT image_id, y, x FROM px WHERE v >= 0.3), {cc_sql('fg', 'cc', 8)}

@@ -86,3 +86,27 @@ def test_streams(spark, make_planes, tmp_path):
     query = found.writeStream.format("memory").queryName("log_errors").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["kind"] for r in spark.table("log_errors").collect()} == {"module", "exception"}
+
+
+def test_analysis_by_both_engines(spark, make_planes, tmp_path):
+    image = np.where(disk((32, 32), 10, 10, 5), 200.0, 10.0)
+    native = pipeline.run_analysis(spark, planes=make_planes({"a": image}))
+    assert native["measurements"].count() == 1 and native["summary"].first()["status"] == "processed"
+    (tmp_path / "X_Image.csv").write_text("ImageNumber,FileName\n1,a.tif\n")
+    (tmp_path / "X_Cells.csv").write_text("ImageNumber,ObjectNumber,Area\n1,1,5\n1,2,7\n")
+    merged = pipeline.run_analysis(spark, "tables", tables_dir=str(tmp_path))
+    assert set(merged["tables"]) == {"X_Image", "X_Cells"} and merged["measurements"].count() == 2
+    apart = pipeline.run_analysis(spark, "tables", tables_dir=str(tmp_path), merge=False)
+    assert apart["measurements"] is None
+    for bad in ({"engine": "native"}, {"engine": "tables"}):
+        with pytest.raises(ValueError, match="required"):
+            pipeline.run_analysis(spark, **bad)
+
+
+def test_own_python_per_image(make_planes):
+    double = pipeline.custom_step(
+        make_planes({"a": np.ones((2, 2)), "b": np.zeros((2, 2))}),
+        lambda pdf: pdf.assign(total=[2 * float(sum(p)) for p in pdf["pixels"]])[["image_id", "total"]],
+        "image_id string, total double",
+    )
+    assert {tuple(r) for r in double.collect()} == {("a", 8.0), ("b", 0.0)}

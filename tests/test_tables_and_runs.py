@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pixelframe.operators import logs, runs, tables
 from pixelframe.operators.ranking import ordinal
 from pixelframe.sources.inventory import detect_images, file_inventory, scan_summary
-from pixelframe.sources.logs import read_run_logs
-from pixelframe.sources.sinks import write_measurements, write_report
-from pixelframe.sources.tables import load_measurement_tables
+from pixelframe.operators.layers import organize_layers
+from pixelframe.sources.logs import prefer_files, read_run_logs
+from pixelframe.sources.sinks import write_layers, write_measurements, write_report
+from pixelframe.sources.tables import load_measurement_tables, read_table
 
 
 def write(folder, **files):
@@ -192,3 +193,43 @@ def test_sinks(spark, tmp_path):
     write_report(objects.withColumn("part", F.lit(None).cast("string")), str(tmp_path / "json"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "json")).collect()]
     assert len(lines) == 1 and '"part":null' in lines[0]
+
+
+def test_indented_log_lines(spark):
+    lines = ["Traceback (most recent call last):", "\tKeyError: x", "\tat java.lang.Foo \t", "[OIR] input path:\tC:/a.oir\t", "\t[OIR] timing read_seconds:\t2.5"]
+    df = spark.createDataFrame([("r", i, line) for i, line in enumerate(lines)], "run_id string, pos int, line string")
+    assert [r["line"] for r in logs.extract_run_errors(df).collect()] == ["KeyError: x"]
+    assert [r["line"] for r in logs.extract_marker_errors(df).collect()] == ["at java.lang.Foo"]
+    record = logs.parse_file_timings(df).first()
+    assert (record["input_path"], record["read_seconds"]) == ("C:/a.oir", 2.5)
+
+
+def test_cells_with_quotes_line_breaks_and_missing_words(spark, tmp_path):
+    text = 'Key,Value,Number,Flag\na,"two\nlines, ""quoted""",NA,True\nb,n/a,2.5,false\nc,,3,NULL\n'
+    (tmp_path / "T.csv").write_text(text)
+    df = read_table(spark, str(tmp_path / "T.csv"))
+    assert dict(df.dtypes)["Number"] == "double" and dict(df.dtypes)["Flag"] == "boolean"
+    got = [tuple(r) for r in df.orderBy("Key").collect()]
+    assert got == [("a", 'two\nlines, "quoted"', None, True), ("b", None, 2.5, False), ("c", None, 3.0, None)]
+
+
+def test_layers_are_routed_and_written(spark, tmp_path):
+    rows = [("a_mask.tif", [1.0, 0.0]), ("b_objects.tif", [1.0, 2.0]), ("c.tif", [0.0, 1.0]), ("d.tif", [5.0, 7.5])]
+    df = spark.createDataFrame(
+        [(n, "s", i, n, "float64", p) for i, (n, p) in enumerate(rows)],
+        "filename string, stack_id string, frame_index int, source_path string, dtype string, pixels array<double>",
+    )
+    routed = organize_layers(df)
+    names = {k: sorted(r["filename"] for r in v.collect()) for k, v in routed.items()}
+    assert names == {"masks": ["a_mask.tif", "c.tif"], "labels": ["b_objects.tif"], "intensity": ["d.tif"]}
+    write_layers(routed["masks"], "mask", str(tmp_path / "layers"))
+    back = spark.read.parquet(str(tmp_path / "layers")).orderBy("layer_name").collect()
+    assert [(r["kind"], r["layer_name"]) for r in back] == [("mask", "a_mask_f000_mask.tif"), ("mask", "c_f002_mask.tif")]
+
+
+def test_files_win_over_captured_text(spark):
+    schema = "run_id string, stream string, line string"
+    files = spark.createDataFrame([("r1", "out", "disk")], schema)
+    captured = spark.createDataFrame([("r1", "out", "memory"), ("r1", "err", "memory"), ("r2", "out", "memory")], schema)
+    got = sorted(map(tuple, prefer_files(files, captured).collect()))
+    assert got == [("r1", "err", "memory"), ("r1", "out", "disk"), ("r2", "out", "memory")]
