@@ -84,7 +84,8 @@ def match_outputs(images: DataFrame, layers: DataFrame) -> DataFrame:
     substrings = available.withColumn("_lengths", lengths).select(
         "_order", F.explode(pieces).alias("_stem")
     )
-    contained = first_layer(substrings, "_inside").join(open_keys, "_stem")
+    met = substrings.join(open_keys, "_stem", "left_semi")  # most substrings are nobody's stem
+    contained = first_layer(met, "_inside")
     return (
         wanted.join(exact, "_stem", "left")
         .join(contained, "_stem", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.functions.names import file_type, resolve_method, stem
 from pixelframe.operators.ranking import ordinal
 
@@ -269,14 +270,16 @@ def reconcile_outputs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     ``expected (input_path, output_path)``, ``actual (path)`` → one row per input with
     ``source_path``, ``match_kind`` (``exact, stem, stem_ci, ambiguous, positional,
     missing``). Stages are anti-joins and equi-joins; leftovers are paired by their distributed
-    positions in path order. Inputs that share an expected file share its match, and when two
+    positions in path order. What a stage decides is stored, so no listing is read again for the next. Inputs that share an expected file share its match, and when two
     stems differ only by case the first path takes the candidate.
     """
-    targets = expected.groupBy("output_path").agg(F.min("input_path").alias("input_path"))
-    files = actual.select("path").distinct()
-    exact = targets.join(
-        files, F.col("output_path") == F.col("path"), "left_semi"
-    ).withColumns({"source_path": F.col("output_path"), "match_kind": F.lit("exact")})
+    targets = durable(expected.groupBy("output_path").agg(F.min("input_path").alias("input_path")))
+    files = durable(actual.select("path").distinct())
+    exact = durable(
+        targets.join(files, F.col("output_path") == F.col("path"), "left_semi").withColumns(
+            {"source_path": F.col("output_path"), "match_kind": F.lit("exact")}
+        )
+    )
     open1 = targets.join(exact, "output_path", "left_anti")
     free1 = files.join(exact.select(F.col("source_path").alias("path")), "path", "left_anti")
 
@@ -290,6 +293,7 @@ def reconcile_outputs(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.when(F.col("_n") == 1, F.col("source_path")).alias("source_path"),
         F.when(F.col("_n") == 1, "stem").otherwise("ambiguous").alias("match_kind"),
     )
+    same = durable(same)
     open2 = open1.join(same, "output_path", "left_anti")
     taken = same.filter(F.col("source_path").isNotNull()).select(F.col("source_path").alias("path"))
     free2 = free1.join(taken, "path", "left_anti")
@@ -313,6 +317,7 @@ def reconcile_outputs(expected: DataFrame, actual: DataFrame) -> DataFrame:
             F.when(F.col("_n") == 1, "stem_ci").otherwise("ambiguous").alias("match_kind"),
         )
     )
+    folded = durable(folded)
     open3 = open2.join(folded, "output_path", "left_anti")
     taken = folded.filter(F.col("source_path").isNotNull()).select(F.col("source_path").alias("path"))
     free3 = free2.join(taken, "path", "left_anti")
