@@ -338,13 +338,17 @@ def _(spark, d):
     "mask_overlay",
     f"""WITH {PX}, {_DISPLAY} SELECT image_id, y, x,
       CAST(CASE WHEN v >= 0 THEN floor(least(display * 0.6::DOUBLE + 0.4::DOUBLE * 255, 255.0)) ELSE display END AS INTEGER) AS r,
-      CAST(CASE WHEN v >= 0 THEN floor(display * 0.6::DOUBLE) ELSE display END AS INTEGER) AS g FROM disp""",
+      CAST(CASE WHEN v >= 0 THEN floor(display * 0.6::DOUBLE) ELSE display END AS INTEGER) AS g,
+      CAST(CASE WHEN v >= 0 THEN floor(display * 0.6::DOUBLE) ELSE display END AS INTEGER) AS b FROM disp""",
 )
 def _(spark, d):
     out = pixelwise.mask_overlay(pixelwise.manual_threshold(planes(spark, d), 0.0))
     return sources.explode_pixels(
-        out.select("image_id", "width", "overlay_r", "overlay_g"), r="overlay_r", g="overlay_g"
-    ).select("image_id", "y", "x", "r", "g")
+        out.select("image_id", "width", "overlay_r", "overlay_g", "overlay_b"),
+        r="overlay_r",
+        g="overlay_g",
+        b="overlay_b",
+    ).select("image_id", "y", "x", "r", "g", "b")
 
 
 @query(

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from pixelframe.operators import compare, histogram, measure, pixelwise, regions, stats, watershed
 from pixelframe.plans import adaptive, pipeline
+import registry
 from registry import query
 from registry.inputs import FRAMES, IPX, PX, SHEETS, blur_sql, otsu_sql, planes, sheets
+from registry.pixels import _DISPLAY as DISPLAY
+from registry.pixels import _INSPECT as INSPECT
 from registry.pixels import pixel_rows
 
 
@@ -407,7 +410,19 @@ def _(spark, d):
     )
 
 
-@query("label_overlay")
+def _shade(channel: int) -> str:
+    palette = ", ".join(str(color[channel]) for color in pixelwise.LABEL_PALETTE)
+    blend = f"floor(display * 0.5::DOUBLE + ([{palette}])[n % {len(pixelwise.LABEL_PALETTE)} + 1] * 0.5::DOUBLE)"
+    return f"CAST(CASE WHEN n IS NULL THEN display ELSE {blend} END AS INTEGER)"
+
+
+@query(
+    "label_overlay",
+    f"""WITH RECURSIVE {PX}, {OTSU}, {FG}, {cc_sql('fg', 'cc', 8)}, {DISPLAY},
+      lab AS (SELECT image_id, y, x, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS n FROM cc)
+      SELECT image_id, y, x, {_shade(0)} AS r, {_shade(1)} AS g, {_shade(2)} AS b
+      FROM disp LEFT JOIN lab USING (image_id, y, x)""",
+)
 def _(spark, d):
     df = planes(spark, d)
     labels = regions.label_objects(regions.mask_runs(histogram.otsu_threshold(df)))
@@ -420,17 +435,45 @@ def _(spark, d):
     ).select("image_id", "y", "x", "r", "g", "b")
 
 
-@query("validation_report")
+@query(
+    "validation_report",
+    f"""WITH m AS ({registry.ORACLES["compare_masks"]}),
+      p AS (WITH {PX}, {INSPECT.format(src='px')} SELECT image_id, 8 AS height, 8 AS width, 1 AS channel_count, 'float64' AS dtype, round(min_value, 6) AS min_value,
+        round(max_value, 6) AS max_value, round(max_value - min_value, 6) AS dynamic_range,
+        round(mean_intensity, 6) AS mean_intensity, round(bg25, 6) AS background_std, round(snr, 6) AS estimated_snr,
+        concat_ws('|', CASE WHEN snr < 3 THEN 'Low estimated SNR: thresholding may be unstable.' END,
+          CASE WHEN max_value - min_value < 100 THEN 'Low dynamic range: weak foreground/background separation.' END) AS limitations
+        FROM ins),
+      r AS (SELECT *, object_count_a > 0 OR object_count_b > 0 AS found,
+        foreground_pixels_a / nullif(object_count_a, 0) AS area_a, foreground_pixels_b / nullif(object_count_b, 0) AS area_b FROM m)
+      SELECT p.*, iou AS mask_iou, dice AS mask_dice, pixel_agreement AS mask_pixel_agreement,
+        foreground_pixels_a AS mask_foreground_pixels_a, foreground_pixels_b AS mask_foreground_pixels_b,
+        object_count_a AS mask_object_count_a, object_count_b AS mask_object_count_b,
+        CASE WHEN found THEN object_count_a END AS measure_object_count_a,
+        CASE WHEN found THEN object_count_b END AS measure_object_count_b,
+        CASE WHEN found THEN object_count_a - object_count_b END AS measure_count_difference,
+        CASE WHEN object_count_a > 0 THEN round(object_count_a / nullif(object_count_b, 0), 6) END AS measure_count_ratio,
+        round(area_a, 6) AS measure_mean_area_a, round(area_b, 6) AS measure_mean_area_b,
+        round(area_a - area_b, 6) AS measure_mean_area_difference,
+        CASE WHEN found THEN 'area' END AS measure_area_column_a, CASE WHEN found THEN 'area' END AS measure_area_column_b
+      FROM p JOIN r USING (image_id)""",
+)
 def _(spark, d):
     df = planes(spark, d)
-    report = compare.validation_report(
-        df, otsu_planes(spark, d), pixelwise.manual_threshold(df, 0.1)
-    )
+    report = compare.validation_report(df, otsu_planes(spark, d), pixelwise.manual_threshold(df, 0.1))
+
+    def flat(part: str, prefix: str):
+        for f in report.schema[part].dataType.fields:
+            value = F.col(f"{part}.{f.name}")
+            kind = f.dataType.simpleString()
+            shown = F.round(value, 6) if kind == "double" else F.array_join(value, "|") if "array" in kind else value
+            yield shown.alias(prefix + f.name)
+
     return report.select(
         "image_id",
-        F.col("image_properties.estimated_snr").alias("estimated_snr"),
-        F.col("mask_comparison.iou").alias("iou"),
-        F.col("measurement_comparison.count_difference").alias("count_difference"),
+        *flat("image_properties", ""),
+        *flat("mask_comparison", "mask_"),
+        *flat("measurement_comparison", "measure_"),
     )
 
 
