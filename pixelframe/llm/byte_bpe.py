@@ -86,7 +86,7 @@ class MinimalPerfectHash:
 class Vocabulary:
     """Ranks of a vocabulary file with lines of base64 bytes and rank, and the pattern that cuts pre-tokens."""
 
-    def __init__(self, path: str, pattern: str, memo_entries: int = 200_000):
+    def __init__(self, path: str, pattern: str, memo_entries: int = 120_000):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(word): int(rank) for word, rank in pairs}

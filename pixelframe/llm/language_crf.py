@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.llm.columns import packed, take, unpacked
 from pixelframe.llm.wordhash import hash_runs, mixed
 from pixelframe.llm.workers import map_slices, prepare, text_expression
@@ -141,12 +142,11 @@ def training_pieces(
     """``(lang, words)`` pieces, evenly spread over at most ``texts_per_language`` texts of each language."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # so few rows are wanted that most can stay out of the ranking by their hash alone
-    thin = F.col("h") <= F.lit(2.0**63) * 4 * texts_per_language / F.col("n")
-    few = usable.join(counts, "lang").where(thin).select("lang", "text", "h").dropDuplicates(["lang", "h"])
-    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.where(F.col("k") <= texts_per_language).select("lang", "text")
+    hashes = usable.select("lang", "h").distinct()
+    ranked = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    # a written table of known size: texts meet it where they are read, and only those chosen move
+    wanted = durable(ranked.where(F.col("k") <= texts_per_language).select("lang", "h"))
+    chosen = usable.join(wanted, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, out = [], []
@@ -303,7 +303,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         f"doc_id {kind}, n_words bigint, lang_pred string, score double, "
         "shares map<string, double>, spans array<struct<lang: string, n_words: int>>"
     )
-    return map_slices(chosen, run, schema, "text", 2 << 20)
+    return map_slices(chosen, run, schema, "text")
 
 
 def _runs(langs: list[str], best: np.ndarray) -> list[dict]:
@@ -326,6 +326,6 @@ def keep_known(
         found = model.marginals(words) if model.langs else [()] * len(words)
         return pa.array([float(np.max(np.mean(c, axis=0, dtype=np.float64))) if len(c) else -1.0 for c in found], pa.float64())
 
-    score = text_expression(best, "double", 2 << 20)
+    score = text_expression(best, "double")
     whole = packed(docs, text=text_col)
     return unpacked(whole.where(score(F.col("text")) >= min_score), docs.columns)

@@ -27,11 +27,14 @@ def map_slices(
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, slice_bytes):
-                out = function(part)
-                if out is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for part in slices(batch, text, slice_bytes):
+                    out = function(part)
+                    if out is not None:
+                        yield out
+        finally:
+            pa.default_memory_pool().release_unused()  # the worker lives on, idle, beside other stages
 
     return df.mapInArrow(run, schema)
 
@@ -69,6 +72,7 @@ def _parts(slice_bytes: int, *columns: pa.Array) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(parts: list[pa.Array]) -> pa.Array:
+    pa.default_memory_pool().release_unused()
     return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
