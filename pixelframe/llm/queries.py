@@ -77,7 +77,7 @@ def op8_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of repeated spans."""
-    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return sentence_spans.remove_repeats(table(spark, sf_dir, "documents"), context=True)
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ is hashed (128 bits of the words, white space apart), and runs meet by hash over
 goes if it lies in a run that is not the first with its hash; the first stands in the document with the
 smallest id, at its smallest place. What remains of a text keeps its own white space.
 
+With ``context``, a single sentence is also hashed with words on one side of it, half of what it lacks to
+``long_sentence`` words: a verbatim passage of that length around a whole sentence holds one of the two runs,
+wherever the passage cuts the sentences before and after. Scripts written without spaces count two characters
+as a word.
+
 White space is that of ASCII. Sentences end at closing punctuation before white space, at full-width stops, at
 line breaks, and before a capital letter (so that text pasted into the middle of a sentence still starts one).
 Cutting and hashing work on the raw bytes of many texts at once.
@@ -30,6 +35,13 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _STOP = np.isin(np.arange(256), list(b".!?;:"))
 #: Closing characters of three bytes, the last three of which end a sentence even without white space.
 _WIDE_STOPS = [c.encode() for c in "…。！？"]
+#: First and last code points of letters that are written without spaces between words.
+_UNSPACED = np.array(
+    [
+        (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF),
+        (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+    ]
+)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -61,8 +73,20 @@ class Sentences:
     first: np.ndarray  # first word of every sentence, and the number of words
     rows: np.ndarray  # first sentence of every row, and the number of sentences
 
+    def until(self) -> np.ndarray:
+        """Size of everything before each word: one for a word, or half its characters of unspaced scripts."""
+        size = np.ones(len(self.starts), np.int64)
+        at = np.flatnonzero(self.data >= 0xE0)
+        if len(at):
+            points = _code_points(self.data, at)
+            place = np.searchsorted(_UNSPACED[:, 0], points, "right") - 1
+            at = at[(place >= 0) & (points <= _UNSPACED[place, 1])]
+            unspaced = np.bincount(np.searchsorted(self.starts, at, "right") - 1, minlength=len(size))
+            size = np.maximum(size, (unspaced + 1) // 2)
+        return np.append(0, np.cumsum(size))
+
     def sizes(self) -> np.ndarray:
-        return np.diff(self.first)
+        return np.diff(self.until()[self.first])
 
 
 def sentences(column: pa.Array) -> Sentences:
@@ -122,14 +146,48 @@ def runs(
     return np.stack([code // (n + 1), code % (n + 1)], 1)
 
 
+def context_runs(
+    found: Sentences, min_words: int, min_sentences: int, long_sentence: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences, ``(first, after last)`` word of each with half of what it lacks on one side, and the side.
+
+    The side (1 right, 2 left) tells runs of the same words in one place apart.
+
+    Left out where a run of whole sentences from (or up to) that sentence lies inside, since it meets as well.
+    """
+    until, first, rows = found.until(), found.first, found.rows
+    low, high = until[first[:-1]], until[first[1:]]
+    reach = (high - low + long_sentence + 1) // 2
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    begin, end = first[rows[:-1]][row], first[rows[1:]][row]
+    k = np.arange(len(row))
+    sums = until[first]
+    after = np.maximum(np.searchsorted(sums, low + min_words), k + min_sentences)
+    before = np.minimum(np.searchsorted(sums, high - min_words, "right") - 1, k + 1 - min_sentences)
+    right = np.searchsorted(until, low + reach)
+    left = np.searchsorted(until, high - reach, "right") - 1
+    short = high - low < long_sentence
+    met_right = (after <= rows[1:][row]) & (first[np.minimum(after, len(row))] < right)
+    met_left = (before >= rows[:-1][row]) & (first[np.maximum(before, 0)] > left)
+    a = np.flatnonzero(short & (right <= end) & ~met_right)
+    b = np.flatnonzero(short & (left >= begin) & ~met_left)
+    words = np.concatenate([np.stack([first[a], right[a]], 1), np.stack([left[b], first[b + 1]], 1)])
+    return np.concatenate([a, b]), words, np.repeat([1, 2], [len(a), len(b)])
+
+
 def run_hashes(found: Sentences, own: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of the words of every run."""
+    """Two independent 64-bit hashes of the words of every run of sentences."""
+    return word_hashes(found, found.first[own])
+
+
+def word_hashes(found: Sentences, own: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of every run of words."""
     solid = np.zeros(len(found.data) + 1, np.int8)
     solid[found.starts] += 1
     solid[found.ends] -= 1
     inside = np.cumsum(solid[:-1]) > 0
     words = hash_runs(found.data[inside].astype(np.uint64), found.ends - found.starts)
-    a, b = found.first[own[:, 0]], found.first[own[:, 1]]
+    a, b = own[:, 0], own[:, 1]
     out = []
     for m in _MULTIPLIERS:
         powers, undo = (
@@ -142,12 +200,22 @@ def run_hashes(found: Sentences, own: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def spans(docs: DataFrame, min_words: int, min_sentences: int, long_sentence: int) -> DataFrame:
+def spans(
+    docs: DataFrame, min_words: int, min_sentences: int, long_sentence: int, context: bool = False
+) -> DataFrame:
     """``key, doc_id, first, after, h1, h2``: every run of every text of ``docs`` (``key, doc_id, text``)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = sentences(batch.column(2))
         own = runs(found.sizes(), found.rows, min_words, min_sentences, long_sentence)
+        words, whole = found.first[own], len(own)
+        if context:
+            alone, around, side = context_runs(found, min_words, min_sentences, long_sentence)
+            own = np.concatenate([own, np.stack([alone, alone + 1], 1)])
+            words = np.concatenate([words, around])
+        hashes = word_hashes(found, words)
+        if context:
+            hashes[0][whole:] ^= side
         row = np.searchsorted(found.rows, own[:, 0], "right") - 1
         inside = (own - found.rows[row][:, None]).astype(np.int32)
         taken = pa.array(row)
@@ -157,7 +225,7 @@ def spans(docs: DataFrame, min_words: int, min_sentences: int, long_sentence: in
                 batch.column(1).take(taken),
                 pa.array(np.ascontiguousarray(inside[:, 0])),
                 pa.array(np.ascontiguousarray(inside[:, 1])),
-                *map(pa.array, run_hashes(found, own)),
+                *map(pa.array, hashes),
             ],
             ["key", "doc_id", "first", "after", "h1", "h2"],
         )
@@ -174,13 +242,14 @@ def remove_repeats(
     long_sentence: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
+    context: bool = False,
 ) -> DataFrame:
     """``doc_id, n_sentences, n_removed, text``: each row with the sentences that it is left with.
 
     A text without repeats stays as it is, byte for byte; a null text stays null, with no sentences. Rows that
     agree in id and text count as one document and get the same result; a null id comes first.
     """
-    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col)
+    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col, context)
     return found.select("doc_id", "left.n_sentences", "left.n_removed", "left.text")
 
 
@@ -192,12 +261,13 @@ def rewrite(
     id_col: str = "doc_id",
     text_col: str = "text",
     length_col: str = "n_chars",
+    context: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with all their columns, their texts as :func:`remove_repeats` leaves them.
 
     The length column, if there is one, follows the text; rows left without any text by a removal go.
     """
-    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col)
+    found = _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col, context)
     found = found.where("left.n_removed = 0 OR left.text != ''")
     length = F.when(F.col("left.n_removed") > 0, F.length("left.text"))
     changed = {text_col: F.col("left.text")}
@@ -208,11 +278,11 @@ def rewrite(
     return unpacked(found, docs.columns, **changed)
 
 
-def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col) -> DataFrame:
+def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col, context) -> DataFrame:
     """``doc, doc_id, left struct<n_sentences, n_removed, text>`` for every row."""
     prepare(docs.sparkSession)
     whole = packed(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = spans(whole.select("key", "doc_id", "text"), min_words, min_sentences, long_sentence)
+    found = spans(whole.select("key", "doc_id", "text"), min_words, min_sentences, long_sentence, context)
     repeated = durable(
         found.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("id"), F.count_if(F.isnull("doc_id")).alias("nulls"))
