@@ -73,14 +73,20 @@ def _name(tree: Column, level: int | Column, place: Column) -> Column:
     return F.struct(tree.alias("tree"), F.lit(level).cast("int").alias("level"), place.cast("bigint").alias("place"))
 
 
-def _blocks(nodes: DataFrame, trees: DataFrame, level: int) -> tuple[DataFrame, int]:
+def _blocks(nodes: DataFrame, trees: DataFrame | int, level: int) -> tuple[DataFrame, int]:
     """Blocks of ``nodes`` (``tree, place, digest, rest``) with the levels inside, their top, and how many have more above.
 
-    ``trees``: ``tree, n`` (leaves), ``after`` (name of the node that a finished tree stands for, or null).
+    ``trees``: ``tree, n`` (leaves), ``after`` (name of the node that a finished tree stands for); for a single tree with
+    nothing above it, its number of leaves.
     """
     members = F.sort_array(F.collect_list(F.struct("place", "digest", "rest")))
     block = F.floor(F.col("place") / BLOCK).alias("block")
-    grouped = nodes.groupBy("tree", block).agg(members.alias("members")).join(trees, "tree")
+    grouped = nodes.groupBy("tree", block).agg(members.alias("members"))
+    if isinstance(trees, int):
+        none = F.lit(None).cast("struct<tree: binary, level: int, place: bigint>")
+        grouped = grouped.select("*", F.lit(trees).cast("bigint").alias("n"), none.alias("after"))
+    else:
+        grouped = grouped.join(trees, "tree")
     size = F.ceil(F.col("n") / F.lit(float(BLOCK**level))).cast("bigint")
     out = grouped.select("tree", "block", "after", "members", size.alias("size"), F.transform("members", lambda m: m["digest"]).alias("l0"))
     out = out.withColumn("steps", _climb(F.col("size")))
@@ -96,7 +102,7 @@ def _blocks(nodes: DataFrame, trees: DataFrame, level: int) -> tuple[DataFrame,
     return durable_counted(out, more)
 
 
-def _forest(nodes: DataFrame, trees: DataFrame) -> list[DataFrame]:
+def _forest(nodes: DataFrame, trees: DataFrame | int) -> list[DataFrame]:
     """The blocks of all levels, leaves first."""
     found, level = [], 0
     while True:
@@ -174,8 +180,6 @@ def proofs(
     leaf_nodes = numbered.select("tree", (F.col("place") - 1).alias("place"), "digest", "rest")
     top_name = _name(F.lit(b""), 0, F.col("no"))
     low = _forest(leaf_nodes, placed.select("tree", "n", top_name.alias("after")))
-    none = F.lit(None).cast(low[0].schema["up"].dataType)
-    top_count = placed.agg(F.count(F.lit(1)).alias("n")).select(F.lit(b"").alias("tree"), "n", none.alias("after"))
     finished = [b.where(F.col("size") <= BLOCK).select("tree", F.col("top").alias("digest")) for b in low]
     subroots = finished[0]
     for more in finished[1:]:
@@ -183,7 +187,7 @@ def proofs(
     top_nodes = subroots.join(placed, "tree").select(
         F.lit(b"").alias("tree"), F.col("no").alias("place"), "digest", F.lit(None).cast("string").alias("rest")
     )
-    high = _forest(top_nodes, top_count)
+    high = _forest(top_nodes, placed.count())
     root = high[-1].select("top").first()
     tables = [_pointers(b, k) for k, b in enumerate(low) if k] + [_pointers(b, k) for k, b in enumerate(high)]
     pointers = tables[0]
