@@ -3,17 +3,17 @@
 Two tiers. A minimal perfect hash over the vocabulary resolves pre-tokens that are vocabulary entries as a
 whole; every other pre-token is merged by rank with a heap over linked bytes, in O(n log n) of its length, so
 a very long pre-token costs no more per byte than a short one. Both tiers run once per distinct pre-token of
-a slice; results are kept in a bounded memo of the worker.
+a slice; merged ones are kept for a while in a bounded memo of the worker. The pre-tokens of a slice share the arrays
+that link their bytes, which are laid out by NumPy, and each has a heap of its own.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
-from struct import pack
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.llm.columns import take
 from pixelframe.llm.wordhash import hash_runs, mixed
-from pixelframe.llm.workers import Memo, map_slices
+from pixelframe.llm.workers import Recent, map_slices
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,6 +35,7 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 
 
 _VALUES = 200_000  # ids that become Python objects at once
+_LINKED = 1 << 16  # bytes of pre-tokens that are linked at once
 
 
 class MinimalPerfectHash:
@@ -99,60 +100,91 @@ class Vocabulary:
             self.words[slot] = word
         self.slot_ids = np.array([self.ranks[w] for w in self.words], "<u4")
         self.pieces = {rank: word for word, rank in self.ranks.items()}
-        self.memo = Memo(memo_entries)
+        self.memo = Recent(memo_entries)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.double = np.full(1 << 16, -1, np.int64)  # rank of two bytes
+        for word, rank in self.ranks.items():
+            if len(word) == 2:
+                self.double[word[0] << 8 | word[1]] = rank
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
         cuts = [self.pattern.findall(text) for text in texts]
         seen = set().union(*cuts)
-        memo = self.memo
-        new = [t for t in seen if t not in memo]
-        if new:
-            memo.make_room(len(new))
-            memo.update(self.resolve(new if memo else list(seen)))
-        return [b"".join([memo[t] for t in cut]) for cut in cuts]
-
-    def resolve(self, pre_tokens: list[str]) -> dict[str, bytes]:
+        found = self.memo.known(seen)
+        self.resolve([t for t in seen if t not in found], found)
+        return [b"".join([found[t] for t in cut]) for cut in cuts]
+
+    def resolve(self, pre_tokens: list[str], found: dict[str, bytes]) -> None:
+        """Put the ids of ``pre_tokens`` into ``found``: first whole words, then what has to be merged."""
         words = [t.encode() for t in pre_tokens]
-        found = {}
-        for text, word, slot in zip(pre_tokens, words, self.table.find(words).tolist(), strict=True):
-            if self.words[slot] == word:
-                found[text] = self.slot_ids[slot].tobytes()
-            else:
-                ids = self.merge(word)
-                found[text] = pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def merge(self, word: bytes) -> list[int]:
-        """Merge the adjacent pair of lowest rank, the leftmost on ties, until no pair is in the vocabulary."""
-        get, n = self.ranks.get, len(word)
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part's end is where the next starts
-        rank = [get(word[i : i + 2], -1) for i in range(n)]  # of the part at i with the next one
-        rank[-1] = -1
-        heap = [r * n + i for i, r in enumerate(rank) if r >= 0]
-        heapq.heapify(heap)
-        while heap:
-            r, i = divmod(heapq.heappop(heap), n)
-            if rank[i] != r:
+        group, size = [], 0
+        for k, slot in enumerate(self.table.find(words).tolist() if words else ()):
+            if self.words[slot] == words[k]:
+                found[pre_tokens[k]] = self.slot_ids[slot].tobytes()
                 continue
-            j = ends[i]
-            ends[i] = end = ends[j]
-            rank[i] = rank[j] = -1
-            if end < n:
-                before[end] = i
-                rank[i] = r = get(word[i : ends[end]], -1)
-                if r >= 0:
-                    heapq.heappush(heap, r * n + i)
-            if i:
-                h = before[i]
-                rank[h] = r = get(word[h:end], -1)
-                if r >= 0:
-                    heapq.heappush(heap, r * n + h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[word[i : ends[i]]])
-            i = ends[i]
-        return ids
+            group.append(k)
+            size += len(words[k])
+            if size >= _LINKED:
+                self._merge_into(found, pre_tokens, words, group)
+                group, size = [], 0
+        if group:
+            self._merge_into(found, pre_tokens, words, group)
+
+    def _merge_into(self, found: dict[str, bytes], pre_tokens: list[str], words: list[bytes], group: list[int]) -> None:
+        merged = dict(zip([pre_tokens[k] for k in group], self.merge([words[k] for k in group]), strict=True))
+        self.memo.add(merged)
+        found.update(merged)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each non-empty word: merge the adjacent pair of lowest rank, the leftmost on ties, until no pair is in
+        the vocabulary. A part is known by where it starts; its end is where the next one starts."""
+        text, get = b"".join(words), self.ranks.get
+        n, sizes = len(text), np.fromiter(map(len, words), np.int64, len(words))
+        stops = np.cumsum(sizes)
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        codes = np.frombuffer(text, np.uint8).astype(np.int64)
+        pairs = np.full(n, -1, np.int64)  # rank of the part with the next one
+        pairs[:-1] = self.double[codes[:-1] << 8 | codes[1:]]
+        pairs[stops - 1] = -1
+        at = np.flatnonzero(pairs >= 0)
+        owner = np.searchsorted(stops, at, side="right")
+        entries = pairs[at] << shift | at
+        heaps = entries[np.lexsort((entries, owner))].tolist()  # a sorted list is a heap
+        bounds = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        edges = bytearray(n + 1)
+        edges[0] = 1
+        for stop in stops.tolist():
+            edges[stop] = 1
+        rank, ids, alive = pairs.tolist(), self.single[codes].tolist(), bytearray(b"\1" * n)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for a, b in zip(bounds, bounds[1:]):
+            heap = heaps[a:b]
+            while heap:
+                entry = heappop(heap)
+                i, r = entry & place, entry >> shift
+                if rank[i] != r:
+                    continue
+                j = ends[i]
+                ends[i] = end = ends[j]
+                ids[i], alive[j], rank[j] = r, 0, -1
+                if edges[end]:
+                    rank[i] = -1
+                else:
+                    before[end] = i
+                    rank[i] = r = get(text[i : ends[end]], -1)
+                    if r >= 0:
+                        heappush(heap, r << shift | i)
+                if not edges[i]:
+                    h = before[i]
+                    rank[h] = r = get(text[h:end], -1)
+                    if r >= 0:
+                        heappush(heap, r << shift | h)
+        kept = np.frombuffer(alive, np.uint8)
+        flat = np.array(ids, "<u4")[kept.view(bool)].tobytes()
+        cuts = np.append(0, np.cumsum(np.add.reduceat(kept.astype(np.int64), stops - sizes))) * 4
+        return [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def decode(self, ids: list[int]) -> list[bytes]:
         """The bytes of each token."""

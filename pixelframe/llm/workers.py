@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -92,13 +92,30 @@ def slices(batch: pa.RecordBatch, text: str | None, slice_bytes: int) -> Iterato
     yield batch.slice(start)
 
 
-class Memo(dict):
-    """A dictionary of derived values that starts afresh when it holds more than ``limit`` entries."""
+class Recent:
+    """Derived values in two generations, each of at most half of ``limit`` entries (or one addition, if that is more).
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
+    When the younger one is full it becomes the older one, whose entries are forgotten unless they were used since.
+    """
 
-    def make_room(self, more: int) -> None:
-        if len(self) and len(self) + more > self.limit:
-            self.clear()
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def known(self, keys: Iterable) -> dict:
+        """The entries of those ``keys`` that are held."""
+        young, old, found, again = self.young, self.old, {}, {}
+        for key in keys:
+            if key in young:
+                found[key] = young[key]
+            elif key in old:
+                again[key] = old[key]
+        self.add(again)
+        found.update(again)
+        return found
+
+    def add(self, values: dict) -> None:
+        if len(self.young) + len(values) > self.half:
+            self.young, self.old = {}, self.young
+        self.young.update(values)
