@@ -181,9 +181,8 @@ def fit(
     pieces of ``piece_words`` words, so the sample on the driver is bounded whatever the size of ``docs``.
     Only texts and languages are used. Without labelled text the model knows no language.
     """
-    marked = docs.select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn")
-    )
+    learned = docs.where(learn)
+    marked = take(learned, text=text_col, lang=lang_col).withColumn("learn", F.lit(True))
     sample = training_pieces(marked, F.col("learn"), texts_per_language, pieces, piece_words)
     langs = sorted({lang for lang, _ in sample})
     count, rng = len(langs), np.random.default_rng(seed)

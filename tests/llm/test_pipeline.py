@@ -2,7 +2,8 @@ import importlib.util
 
 import __spark_entry__
 import corpus_pipeline
-from pixelframe.llm import decontamination, language_crf, queries, sentence_spans, simhash
+from pixelframe.llm import decontamination, language_crf, queries, sentence_spans
+from test_near_copies import brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +17,10 @@ def test_stages_follow_the_operators(spark):
     stages = dict(corpus_pipeline.STAGES)
     one = stages["known_language"](spark, docs, SF)
     assert one.columns == names and {r.doc_id for r in one.collect()} == known
-    unique = {r.component_id for r in simhash.near_duplicates(one).collect()}
+    unique = brute_force([(i, t) for i, t in kept.items() if i in known])
     two = stages["one_of_each"](spark, one, SF)
     assert two.columns == names and {r.doc_id for r in two.collect()} == unique
-    left = {r.doc_id: r for r in sentence_spans.remove_repeats(two).collect()}
+    left = {r.doc_id: r for r in sentence_spans.remove_repeats(two, context=True).collect()}
     three = stages["no_repeated_passages"](spark, two, SF)
     got = {r.doc_id: r for r in three.collect()}
     assert three.columns == names and three.schema == docs.schema
@@ -35,6 +36,6 @@ def test_stages_follow_the_operators(spark):
 def test_everything_is_registered():
     found = __spark_entry__.queries()
     assert [n for n in queries.QUERIES if n in found] == list(queries.QUERIES) and "pipeline" in found
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert importlib.util.find_spec("pixelframe.llm")
