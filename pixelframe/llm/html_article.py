@@ -3,8 +3,9 @@
 A page becomes a tree of elements. Every block of text (a paragraph, heading, list item, or a stretch of text
 between such) gives points for its length and commas to its container, half as many to the next ancestor, a
 quarter to the one after, and so on. An element's score is its points times the part of its text that is not in
-links. The best element, widened to the article or main element around it, and those of its siblings that
-also hold prose make up the article. Menus, headers, footers, sidebars, notices, adverts, forms, comments and
+links. The best element, widened to the article or main element around it, makes up the article; where there is no
+such element, also those of its siblings that hold prose, and of the siblings of its ancestors those that hold an element
+of comparable score. Menus, headers, footers, sidebars, notices, adverts, forms, comments and
 everything that is not text take no part.
 """
 
@@ -23,7 +24,7 @@ from pixelframe.llm.workers import map_slices
 
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(script|style|noscript|template|iframe|svg|math|title|textarea|xmp|noembed|noframes)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style|noscript|template|iframe|svg|title|textarea|noembed|noframes)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
@@ -68,6 +69,14 @@ _OUTSIDE_NAMES = set(
     "reply replies respond discussion breadcrumb breadcrumbs pagination pager sidebar side rail footer header masthead "
     "toolbar login signin signup register search widget widgets copyright tags toc skip".split()
 )
+#: Further parts that such names may have.
+_NEUTRAL_NAMES = set(
+    "area bar block blocks box btn button buttons container content div form group holder icons inner item items left link "
+    "links list main message outer panel post posts right row section sections site top bottom wrap wrapper".split()
+)
+#: Elements that names may drop anywhere; outside of an article, names may drop any element.
+_CONTAINERS = set("div ul ol dl table".split())
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
 #: Parts of names of elements that hold articles.
 _INSIDE_NAMES = set("article content main body post entry story page wrapper container layout".split())
 
@@ -95,14 +104,28 @@ def _outside(tag: str, attributes: str, parent: Node) -> bool:
         return not inside_article
     if not attributes or tag in ("html", "body", "article", "main", "a"):
         values = {} if not attributes or tag != "article" else _attributes(attributes)
-        return inside_article and bool(_names(values) & {"comment", "comments", "reply"})
+        return inside_article and bool(_marks(values) & _COMMENTS)
     values = _attributes(attributes)
     if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role", "").lower() in _OUTSIDE_ROLES:
         return True
     if "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
-    names = _names(values)
-    return bool(names & _OUTSIDE_NAMES) and not (names & _INSIDE_NAMES and not names & {"comment", "comments"})
+    marks = _marks(values)
+    if inside_article and tag not in _CONTAINERS:
+        return tag == "section" and bool(marks & _COMMENTS)
+    return bool(marks & _COMMENTS) or (bool(marks) and not _names(values) & _INSIDE_NAMES)
+
+
+def _marks(values: dict[str, str]) -> set[str]:
+    """Parts that mark an element as none of the article's, from class and id tokens that hold nothing else but neutral
+    parts: ``share-buttons`` marks, ``share-price`` does not."""
+    found = set()
+    for token in f"{values.get('class', '')} {values.get('id', '')}".split():
+        parts = {p.lower() for p in _PART.findall(token)}
+        marks = parts & _OUTSIDE_NAMES
+        if marks and parts <= marks | _NEUTRAL_NAMES:
+            found |= marks
+    return found
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -233,13 +256,7 @@ def extract(page: str) -> str:
     value = {id(n): n.points * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: (value[id(n)], n.text))
     whole = _ancestor(best, {"article"}) or _ancestor(best, {"main"})
-    kept = {id(whole)} if whole is not None else {id(best)}
-    if whole is None and best.parent is not None and best.tag not in ("body", "html"):
-        for sibling in best.parent.children:
-            prose = sibling.text and _density(sibling) <= 0.25
-            alike = sibling.tag == best.tag or sibling.tag in _PARAGRAPH
-            if prose and (alike or value.get(id(sibling), 0) >= 0.2 * value[id(best)]):
-                kept.add(id(sibling))
+    kept = {id(whole)} if whole is not None else _around(best, nodes, value)
     for node in nodes[1:]:  # what a kept element holds is kept, but for lists of links
         menu = node.tag in _LISTS and node.links >= 3 and _density(node) > 0.6
         if id(node.parent) in kept and not menu:
@@ -247,10 +264,43 @@ def extract(page: str) -> str:
     return "\n".join(text for node, text in blocks if id(node) in kept)
 
 
+def _around(best: Node, nodes: list[Node], value: dict[int, float]) -> set[int]:
+    """The best element and, on its way up the page, the siblings that hold prose like it.
+
+    Beside the best element that is prose of the same kind; beside its ancestors, elements that hold one of comparable
+    value, and what stands between such elements.
+    """
+    kept = {id(best)}
+    if best.tag in ("html", "body") or best.parent is None:
+        return kept
+    for sibling in best.parent.children:
+        alike = sibling.tag == best.tag or sibling.tag in _PARAGRAPH
+        if sibling.text and _density(sibling) <= 0.25 and (alike or value.get(id(sibling), 0) >= 0.2 * value[id(best)]):
+            kept.add(id(sibling))
+    peak = dict(value)
+    for node in reversed(nodes[1:]):
+        peak[id(node.parent)] = max(peak.get(id(node.parent), 0.0), peak.get(id(node), 0.0))
+    at = best
+    while at.parent is not None and at.tag not in ("html", "body"):
+        row = at.parent.children
+        equals = [
+            i for i, n in enumerate(row)
+            if n is at or (_density(n) <= 0.25 and peak.get(id(n), 0.0) >= 0.25 * value[id(best)])
+        ]
+        if len(equals) > 1:
+            kept |= {id(n) for n in row[equals[0] : equals[-1] + 1] if n is not at and n.text and _density(n) <= 0.25}
+        at = at.parent
+    return kept
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """``page_id, url, text, n_chars``, one row per input row; a null or empty page has an empty text."""
+    """``page_id, url, text, n_chars``, one row per input row.
+
+    A null or empty page has an empty text, a page of any length is read whole, repeated rows come back repeated, other
+    columns are left out whatever they are called, and an empty table gives no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(page) if page else "" for page in batch.column(2).to_pylist()]

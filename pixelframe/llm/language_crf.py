@@ -136,13 +136,23 @@ def forward_backward(
     return forward / np.where(total > 0, total, 1)
 
 
+def _least(hashes: DataFrame, n: int) -> DataFrame:
+    """The rows of ``hashes`` (``lang, h``, distinct) up to the bucket of leading 16 bits that holds the ``n``-th hash of a
+    language, so that little is left to rank of a language that many texts have."""
+    bucket = F.shiftrightunsigned("h", 47)
+    counts = hashes.groupBy("lang", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")))
+    last = upto.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("bucket"))), F.lit(1 << 16)).alias("last"))
+    return hashes.join(durable(last), "lang").where(bucket <= F.col("last")).select("lang", "h")
+
+
 def training_pieces(
     docs: DataFrame, learn: Column, texts_per_language: int, pieces: int, piece_words: int
 ) -> list[tuple[str, list[str]]]:
     """``(lang, words)`` pieces, evenly spread over at most ``texts_per_language`` texts of each language."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h"))
-    hashes = usable.select("lang", "h").distinct()
+    hashes = _least(durable(usable.select("lang", "h").distinct()), texts_per_language)
     ranked = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     # a written table of known size: texts meet it where they are read, and only those chosen move
     wanted = durable(ranked.where(F.col("k") <= texts_per_language).select("lang", "h"))

@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -25,12 +26,39 @@ from pixelframe.llm.html_article import extract, main_text
         ("<article><section><p>Long, long, long text.</p></section><section><p>short</p></section></article>", "Long, long, long text.\nshort"),
         ('<div class="cookie-notice">We use, as all, cookies.</div><article><form>f</form><p>Text.</p></article>', "Text."),
         ("<article><p>Body text, here.</p><ul><li><a>m1</a><li><a>m2</a><li><a>m3</a></ul></article>", "Body text, here."),
+        ("<article><p>One, two.<svg-icon name=x></svg-icon></p><title-card>t</title-card><p>Three.</p></article>", "One, two.\nt\nThree."),
+        (
+            '<article><h2 id="social-impact">A</h2><h2 id="search-algorithms">B</h2><section class="related-work"><p>C, c.</p>'
+            '</section><div class="side-by-side">D</div><p class="share-price">E</p><div class="share-buttons">no</div>'
+            '<section class="comments"><p>no</p></section></article>',
+            "A\nB\nC, c.\nD\nE",
+        ),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", "Let x be."),
     ],
 )
 def test_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_generated_pages_without_article(seed):
+    """Sections of similar length in the same wrappers, among marked boxes: all of their text comes back."""
+    rng = random.Random(seed)
+    prose = lambda: " ".join(rng.choice(["word,", "river", "stone", "& so", "light."]) for _ in range(rng.randint(40, 80)))
+    depth, text, body = rng.randint(0, 3), [], []
+    for _ in range(rng.randint(1, 5)):
+        paragraphs = [prose() for _ in range(rng.randint(2, 4))]
+        text += paragraphs
+        inner = "".join(f"<p>{html.escape(p)}</p>" for p in paragraphs)
+        for k in range(depth):
+            inner = f'<div class="{rng.choice(["row", "col-md", "w"])}">{inner}</div>'
+        body.append(inner)
+        if rng.random() < 0.5:
+            body.append(f'<div class="{rng.choice(["ad", "cookie-notice", "related-posts", "share-buttons"])}"><p>{prose()}</p></div>')
+    page = f"<body><nav><a href=/>Home</a></nav><div>{''.join(body)}</div><div id=comments><p>{prose()}</p></div><footer>{prose()}</footer>"
+    assert extract(page) == "\n".join(text)
+
+
 def test_odd_markup_takes_linear_time():
     for piece in ('<a "', "<div>", "<p>x", "<", "<!--", "<script>", "<div>x", "</b>", "<b></i>"):
         extract(piece * 20_000)

@@ -58,3 +58,18 @@ def test_switched_text_edge_rows_and_unknown_languages(spark):
     nothing = lc.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert {r.lang_pred for r in lc.label(df, nothing).collect()} == {"und"} and lc.keep_known(df, nothing).count() == 0
     assert lc.label(df.limit(0), model).count() == 0
+
+
+def test_columns_that_clash(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", F.lit(1).alias("TEXT"), F.lit(2).alias("Lang"))
+    model = lc.fit(docs, F.lit(True))
+    assert model.langs and lc.keep_known(docs, model).columns == docs.columns
+
+
+def test_least_hashes_of_a_language(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", int(h)) for h in rng.integers(0, 1 << 63, 5000)] + [("b", 5), ("b", 1 << 62), ("b", 1 << 61)]
+    left = lc._least(spark.createDataFrame(rows, "lang string, h bigint"), 40).collect()
+    least = sorted(h for lang, h in rows if lang == "a")[:40]
+    assert set(least) <= {r.h for r in left if r.lang == "a"} and len(left) < 60
+    assert sum(r.lang == "b" for r in left) == 3
