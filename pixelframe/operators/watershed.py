@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.durable import durable, durable_counted
+from pixelframe.durable import discard, durable, durable_counted
 from pixelframe.functions.arrays import bind, height, per_pixel, positions, width
 from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import (
@@ -252,6 +252,105 @@ def flood(pixels: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
+def _place() -> Column:
+    """Pixels numbered in raster order, whatever the width."""
+    return F.col("y").cast("bigint") * (1 << 31) + F.col("x")
+
+
+def _links(pixels: DataFrame, markers: DataFrame) -> DataFrame:
+    """Neighbouring pixels as ``(image_id, w, u, mu, v, mv)``: two nodes with their markers, and the link's rank ``w``:
+    the level at which it is flooded, ties in raster order."""
+    seeds = markers.select("image_id", "y", "x", "marker")
+    nodes = durable(
+        pixels.join(seeds, ["image_id", "y", "x"], "left").select(
+            "image_id", "y", "x", _place().alias("at"), (-F.col("distance")).alias("level"), "marker"
+        )
+    )
+    after = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, 0))])).alias("s")
+    ahead = nodes.select("image_id", "at", "level", "marker", "y", "x", after).select(
+        "image_id", F.col("at").alias("u"), F.col("level").alias("lu"), F.col("marker").alias("mu"),
+        (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"),
+    )
+    met = ahead.join(nodes.select("image_id", "y", "x", F.col("at").alias("v"), F.col("level").alias("lv"), F.col("marker").alias("mv")), ["image_id", "y", "x"])
+    rank = F.struct(F.greatest("lu", "lv").alias("level"), F.col("u").alias("a"), F.col("v").alias("b"))
+    return met.select("image_id", rank.alias("w"), "u", "mu", "v", "mv").where("mu IS NULL OR mv IS NULL")
+
+
+def _attached(links: DataFrame) -> DataFrame:
+    """``(image_id, node, up, marker)`` for every node without a marker: where its first link leads in the end.
+
+    Every such node follows its lowest-ranked link. Ranks differ, so the way ends at a node with a marker, or at two
+    nodes that chose each other, of which the smaller one is the end. Ways are halved round by round.
+    """
+    choice = F.struct("w", "up", "marker")
+    out = links.where("mu IS NULL").select("image_id", F.col("u").alias("node"), F.col("v").alias("up"), F.col("mv").alias("marker"), "w")
+    back = links.where("mv IS NULL").select("image_id", F.col("v").alias("node"), F.col("u").alias("up"), F.col("mu").alias("marker"), "w")
+    first = durable(out.unionByName(back).groupBy("image_id", "node").agg(F.min(choice).alias("c")).select("image_id", "node", "c.up", "c.marker"))
+    other = first.select("image_id", F.col("node").alias("up"), F.col("up").alias("next"))
+    mutual = (F.col("next") == F.col("node")) & (F.col("node") < F.col("up"))
+    up = F.when(F.coalesce(mutual, F.lit(False)), F.col("node")).otherwise(F.col("up")).alias("to")
+    way = first.join(other, ["image_id", "up"], "left").select("image_id", "node", up, "marker")
+    way = way.select("image_id", "node", F.col("to").alias("up"), "marker", (F.col("marker").isNotNull() | (F.col("to") == F.col("node"))).alias("done"))
+    state, open_ways = durable_counted(way, ~F.col("done"))
+    while open_ways:
+        far = state.select("image_id", F.col("node").alias("up"), F.col("up").alias("to"), F.col("marker").alias("m"), F.col("done").alias("d"))
+        jumped = state.join(far, ["image_id", "up"], "left").select(
+            "image_id",
+            "node",
+            F.when(F.col("done"), F.col("up")).otherwise(F.col("to")).alias("up"),
+            F.coalesce("marker", "m").alias("marker"),
+            (F.col("done") | F.col("d")).alias("done"),
+        )
+        before = state
+        state, open_ways = durable_counted(jumped, ~F.col("done"))
+        discard(before)
+    return state.drop("done")
+
+
+def flood_forest(pixels: DataFrame, markers: DataFrame) -> DataFrame:
+    """Grow markers over ``pixels (image_id, y, x, distance)``: ``(image_id, y, x, marker)``.
+
+    The minimum spanning forest of neighbouring pixels, cut so that every tree holds one marker: links are taken from
+    the deepest up, ties in raster order, and none joins two markers. A pixel so joins a marker whose path to it stays
+    as deep as any. It is built in rounds in which every part without a marker follows its first link; parts at least
+    halve every time, so rounds grow with the logarithm of the pixels of a region, whatever its shape, and only links
+    between parts that are still apart move. What the parts were joined to is read back from the last round to the
+    first, over tables that shrink likewise. Pixels that no marker reaches are left out.
+    """
+    links, left = durable_counted(_links(pixels, markers))
+    rounds = []
+    while left:
+        joined = _attached(links)
+        rounds.append(joined)
+        moved = links
+        for end, mark in (("u", "mu"), ("v", "mv")):
+            to = joined.select("image_id", F.col("node").alias(end), F.col("up").alias("to"), F.col("marker").alias("m"))
+            moved = moved.join(to, ["image_id", end], "left").withColumns(
+                {end: F.coalesce("to", end), mark: F.coalesce("m", mark)}
+            ).drop("to", "m")
+        before = links
+        links, left = durable_counted(moved.where("u != v AND (mu IS NULL OR mv IS NULL)"))
+        discard(before)
+    found = None
+    for joined in reversed(rounds):
+        own = joined.select("image_id", "node", "up", "marker")
+        if found is not None:
+            later = found.select("image_id", F.col("node").alias("up"), F.col("marker").alias("m"))
+            own = own.join(later, ["image_id", "up"], "left").select("image_id", "node", F.coalesce("marker", "m").alias("marker"))
+        found = durable(own.select("image_id", "node", "marker"))
+    seeds = markers.select("image_id", "y", "x", "marker")
+    if found is None:
+        return seeds
+    grown = found.where(F.col("marker").isNotNull()).select(
+        "image_id", F.expr("CAST(node DIV 2147483648 AS INT)").alias("y"), (F.col("node") % (1 << 31)).cast("int").alias("x"), "marker"
+    )
+    return seeds.unionByName(grown)
+
+
+#: Ways to grow markers: along deepest and then shortest paths, or over a spanning forest in few rounds.
+FLOODING = {"paths": flood, "forest": flood_forest}
+
+
 def runs_from_labels(pixels: DataFrame) -> DataFrame:
     """Labelled runs from ``(image_id, height, width, y, x, label)`` pixel rows."""
     line = Window.partitionBy("image_id", "y", "label").orderBy("x")
@@ -264,10 +363,13 @@ def runs_from_labels(pixels: DataFrame) -> DataFrame:
 
 
 def split_touching(
-    planes: DataFrame, min_distance: int = 8, min_peak_ratio: float = 0.5, mask: str = "mask"
+    planes: DataFrame, min_distance: int = 8, min_peak_ratio: float = 0.5, mask: str = "mask", flooding: str = "paths"
 ) -> DataFrame:
     """Labelled runs of plane masks with touching objects split at their necks.
 
+    ``flooding`` names how markers grow (:data:`FLOODING`); both ways agree but for pixels that several markers reach
+    at the same level.
+
     Regions with one marker take its label directly and regions with none stay background, so
     only regions with several markers are flooded. Images whose mask has no peak at all fall
     back to plain connected labels.
@@ -302,7 +404,7 @@ def split_touching(
     crowded_seeds = seeds.join(
         per_region.filter("seeds > 1").select("image_id", "root"), ["image_id", "root"], "left_semi"
     )
-    grown = flood(crowded_pixels, crowded_seeds).withColumnRenamed("marker", "label")
+    grown = FLOODING[flooding](crowded_pixels, crowded_seeds).withColumnRenamed("marker", "label")
     flooded = runs_from_labels(grown.join(shape, "image_id"))
 
     unmarked = runs.join(markers.select("image_id").distinct(), "image_id", "left_anti")
@@ -320,6 +422,7 @@ def scan_distance(measured: DataFrame) -> DataFrame:
 __all__ = [
     "distance_transform",
     "flood",
+    "flood_forest",
     "peak_candidates",
     "peak_markers",
     "run_pixels",

@@ -237,6 +237,38 @@ def _(spark, d):
     )
 
 
+#: Links of neighbouring pixels taken from the deepest up, as long as none joins two markers. A part is the negative
+#: number of its marker, or the smallest raster position in it.
+_FOREST = """node AS (SELECT dist.image_id, dist.y, dist.x, dist.d2, marker FROM dist LEFT JOIN peaks USING (image_id, y, x)),
+  link AS (SELECT a.image_id, a.y * 8 + a.x AS u, b.y * 8 + b.x AS v,
+      row_number() OVER (PARTITION BY a.image_id ORDER BY greatest(-a.d2, -b.d2), a.y * 8 + a.x, b.y * 8 + b.x) AS k
+    FROM node a JOIN node b ON a.image_id = b.image_id AND ((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x))),
+  start AS (SELECT image_id, list(coalesce(-marker, p + 1) ORDER BY p) AS part
+    FROM (SELECT image_id, p FROM (SELECT DISTINCT image_id FROM node), range(64) r(p))
+    LEFT JOIN (SELECT image_id, y * 8 + x AS p, marker FROM node) USING (image_id, p) GROUP BY 1),
+  forest AS (
+    SELECT image_id, 0::BIGINT AS k, part FROM start
+    UNION ALL
+    SELECT image_id, k, CASE WHEN a = b OR (a < 0 AND b < 0) THEN part
+        ELSE list_transform(part, lambda x: CASE WHEN x = greatest(a, b) THEN least(a, b) ELSE x END) END
+    FROM (SELECT f.image_id, l.k, f.part, f.part[l.u + 1] AS a, f.part[l.v + 1] AS b
+          FROM forest f JOIN link l ON l.image_id = f.image_id AND l.k = f.k + 1)),
+  grown AS (SELECT image_id, arg_max(part, k) AS part FROM forest GROUP BY 1)"""
+
+
+@query(
+    "split_touching_forest",
+    f"""WITH RECURSIVE {PX}, {OTSU}, {FG}, {_peaks_sql(2, '0.5::DOUBLE')}, {_FOREST}
+      SELECT image_id, y, x, CAST(-part[y * 8 + x + 1] AS INTEGER) AS label FROM node JOIN grown USING (image_id)
+      WHERE part[y * 8 + x + 1] < 0""",
+)
+def _(spark, d):
+    labels = watershed.split_touching(otsu_planes(spark, d), 2, 0.5, flooding="forest")
+    return regions.run_pixels(labels.select("image_id", "y", "label", "x0", "x1")).select(
+        "image_id", "y", "x", "label"
+    )
+
+
 @query(
     "should_split",
     f"""WITH RECURSIVE {PX}, fg AS (SELECT image_id, y, x FROM px WHERE v >= 0.25), {cc_sql('fg', 'cc', 8)},
@@ -306,7 +338,15 @@ def _(spark, d):
     )
 
 
-@query("segment_objects_watershed")
+_KEPT_PEAKS = _peaks_sql(2, "0.5::DOUBLE").replace(" fg ", " kept ")
+
+
+@query(
+    "segment_objects_watershed",
+    f"""WITH RECURSIVE {_SEGMENT}, {_KEPT_PEAKS}, {_flood_sql(40)},
+      lab AS (SELECT image_id, y, x, CAST(c - floor(c / 1000) * 1000 AS INTEGER) AS label FROM f40 WHERE c IS NOT NULL)
+      SELECT image_id, label, {MEASURE}, {INTENSITY} FROM lab JOIN px USING (image_id, y, x) GROUP BY 1, 2""",
+)
 def _(spark, d):
     return rounded_objects(
         pipeline.segment_objects(
@@ -315,6 +355,21 @@ def _(spark, d):
     )
 
 
+@query(
+    "segment_objects_forest",
+    f"""WITH RECURSIVE {_SEGMENT}, {_KEPT_PEAKS}, {_FOREST},
+      lab AS (SELECT image_id, y, x, CAST(-part[y * 8 + x + 1] AS INTEGER) AS label FROM node JOIN grown USING (image_id)
+        WHERE part[y * 8 + x + 1] < 0)
+      SELECT image_id, label, {MEASURE}, {INTENSITY} FROM lab JOIN px USING (image_id, y, x) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return rounded_objects(
+        pipeline.segment_objects(
+            planes(spark, d), min_object_size=3, labeling="watershed", watershed_min_distance=2, watershed_flooding="forest"
+        )
+    )
+
+
 @query(
     "batch_summary",
     f"""WITH RECURSIVE {_SEGMENT}, {cc_sql('kept', 'cc', 8)}

@@ -136,3 +136,67 @@ def test_compare_masks(make_masks):
     assert (none["iou"], none["dice"], none["pixel_agreement"]) == (0.0, 0.0, 0.0)
     with pytest.raises(Exception, match="do not match"):
         compare.compare_masks(make_masks({"a": e}), make_masks({"a": f[:2]}), objects=False).collect()
+
+
+def kruskal(field, seeds):
+    """Markers grown over a spanning forest: links deepest first, ties in raster order, none between two markers."""
+    h, w = field.shape
+    at = [(y, x) for y in range(h) for x in range(w) if field[y, x] > 0]
+    part = {p: ("m", seeds[p]) if p in seeds else ("p", p) for p in at}
+    links = []
+    for y, x in at:
+        for q in ((y, x + 1), (y + 1, x)):
+            if q in part:
+                links.append((max(-field[y, x], -field[q]), (y, x), q))
+    for _, p, q in sorted(links):
+        a, b = sorted((part[p], part[q]))
+        if a != b and not (a[0] == b[0] == "m"):
+            for k, v in part.items():
+                if v == b:
+                    part[k] = a
+    return {p: v[1] for p, v in part.items() if v[0] == "m"}
+
+
+def test_flood_forest_against_kruskal(spark):
+    rng = np.random.default_rng(3)
+    rows, seeds, want = [], [], {}
+    for i in range(6):
+        field = rng.integers(0, 4 if i % 2 else 9, (14, 17))
+        own = {(int(y), int(x)): k for k, (y, x) in enumerate(np.argwhere(field > 0)[rng.permutation(60)[:5]], 1)}
+        if i == 5:  # a corridor: one long way
+            field, own = np.ones((1, 300), int), {(0, 0): 1, (0, 299): 2}
+        rows += [(str(i), int(y), int(x), float(field[y, x])) for y, x in np.argwhere(field > 0)]
+        seeds += [(str(i), y, x, k) for (y, x), k in own.items()]
+        want |= {(str(i), *p): k for p, k in kruskal(field, own).items()}
+    pixels = spark.createDataFrame(rows, "image_id string, y int, x int, distance double")
+    markers = spark.createDataFrame(seeds, "image_id string, y int, x int, marker int")
+    got = {(r.image_id, r.y, r.x): r.marker for r in watershed.flood_forest(pixels, markers).collect()}
+    assert got == want
+    assert watershed.flood_forest(pixels.limit(0), markers.limit(0)).count() == 0
+
+
+def test_flood_forest_keeps_the_deepest_level(spark):
+    """Each pixel is reached as deeply as by the search over all paths."""
+    rng = np.random.default_rng(5)
+    field = rng.integers(1, 6, (12, 12)).astype(float)
+    own = {(0, 0): 1, (11, 11): 2, (0, 11): 3}
+    pixels = spark.createDataFrame([("a", y, x, float(field[y, x])) for y in range(12) for x in range(12)], "image_id string, y int, x int, distance double")
+    markers = spark.createDataFrame([("a", y, x, k) for (y, x), k in own.items()], "image_id string, y int, x int, marker int")
+    forest = {(r.y, r.x): r.marker for r in watershed.flood_forest(pixels, markers).collect()}
+
+    def reach(seeds, inside):
+        best = {p: field[p] for p in seeds}
+        while True:
+            more = dict(best)
+            for (y, x), level in best.items():
+                for q in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if inside(q) and min(level, field[q]) > more.get(q, 0):
+                        more[q] = min(level, field[q])
+            if more == best:
+                return best
+            best = more
+
+    everywhere = reach(own, lambda q: 0 <= q[0] < 12 and 0 <= q[1] < 12)
+    for k in (1, 2, 3):
+        own_part = reach([p for p, m in own.items() if m == k], lambda q: forest.get(q) == k)
+        assert all(own_part[p] == everywhere[p] for p, m in forest.items() if m == k)
