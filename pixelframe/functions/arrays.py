@@ -63,6 +63,10 @@ def positions(n: Column) -> Column:
     )
 
 
+def power_of_two(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
 def as_column(value: int | float | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

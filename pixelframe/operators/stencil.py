@@ -8,6 +8,7 @@ filters run as a vertical pass followed by a horizontal pass.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,7 @@ from pixelframe.functions.arrays import (
     padded_rows,
     per_pixel,
     positions,
+    power_of_two,
     width,
 )
 
@@ -169,35 +171,58 @@ def median_filter(planes: DataFrame, radius: int = 1) -> DataFrame:
     return planes.withColumn("pixels", filtered)
 
 
-def _disk_extreme(pixels: Column, radius: Column, pick) -> Column:
-    """Minimum or maximum over a disk, taken row segment by row segment."""
+def _doubled(rows: Column, reach: Column, pick: Callable[..., Column]) -> Column:
+    """Sparse tables of lines: entry ``k`` of a line holds the extreme of ``2 ** k`` pixels from every place on, up to
+    windows of ``reach`` pixels. A window of any length is covered by two that overlap."""
+    levels = F.floor(F.log2(reach.cast("double"))).cast("int")
 
-    def body(rows: Column, ys: Column, half: Column) -> Column:
+    def table(row: Column) -> Column:
+        return F.aggregate(
+            positions(levels),
+            F.array(row),
+            lambda done, k: F.concat(
+                done,
+                F.array(
+                    bind(
+                        F.get(done, k),
+                        lambda last: F.transform(last, lambda v, i: pick(v, F.get(last, i + power_of_two(k)))),
+                    )
+                ),
+            ),
+        )
+
+    return F.transform(rows, table)
+
+
+def _disk_extreme(pixels: Column, radius: Column, pick: Callable[..., Column], of_all: Callable[[Column], Column]) -> Column:
+    """Minimum or maximum over a disk: two look-ups for each of its lines, whatever their length."""
+
+    def body(tables: Column, ys: Column, spans: Column) -> Column:
         def at(y: Column, x: Column) -> Column:
-            return pick(
-                F.transform(
-                    positions(F.size(half)),
-                    lambda d: pick(
-                        F.slice(
-                            F.get(rows, F.get(ys, y + d)),
-                            x + 1 + radius - F.get(half, d),
-                            2 * F.get(half, d) + 1,
-                        )
-                    ),
-                )
-            )
+            def line(span: Column, d: Column) -> Column:
+                values = F.get(F.get(tables, F.get(ys, y + d)), span["level"])
+                return pick(F.get(values, x + span["first"]), F.get(values, x + span["second"]))
+
+            return of_all(F.transform(spans, line))
 
         return per_pixel(height(), width(), at)
 
-    half_widths = F.transform(
+    half = F.transform(
         F.sequence(-radius, radius), lambda d: F.floor(F.sqrt(radius * radius - d * d)).cast("int")
     )
+
+    def span(h: Column) -> Column:
+        level = F.floor(F.log2((2 * h + 1).cast("double"))).cast("int")
+        last = radius + h + 1 - power_of_two(level)
+        return F.struct(level.alias("level"), (radius - h).alias("first"), last.alias("second"))
+
     return bind(
         pixels,
         lambda p: bind(
-            padded_rows(p, height(), width(), radius),
-            lambda rows: bind(
-                border_table(radius, height()), lambda ys: bind(half_widths, lambda half: body(rows, ys, half))
+            _doubled(padded_rows(p, height(), width(), radius), 2 * radius + 1, pick),
+            lambda tables: bind(
+                border_table(radius, height()),
+                lambda ys: bind(F.transform(half, span), lambda spans: body(tables, ys, spans)),
             ),
         ),
     )
@@ -209,7 +234,8 @@ def default_ball_radius() -> Column:
 
 def background_opening(pixels: Column, radius: Column) -> Column:
     """Grey-scale opening (erosion then dilation) with a disk."""
-    return _disk_extreme(_disk_extreme(pixels, radius, F.array_min), radius, F.array_max)
+    eroded = _disk_extreme(pixels, radius, F.least, F.array_min)
+    return _disk_extreme(eroded, radius, F.greatest, F.array_max)
 
 
 def rolling_ball_subtract(planes: DataFrame, radius: int | Column | None = None) -> DataFrame:

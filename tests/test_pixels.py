@@ -70,6 +70,21 @@ def test_rolling_ball_matches_brute_force(make_planes):
     assert np.allclose(arrays(stencil.rolling_ball_subtract(make_planes({"a": a}), r))["a"], want)
 
 
+def test_rolling_ball_of_any_radius(make_planes):
+    """Radii below, at and beyond the side of a plane, against disks taken pixel by pixel."""
+    a = np.round(np.random.default_rng(11).random((13, 21)) * 50)
+    for r in (1, 3, 7, 16):
+        yy, xx = np.mgrid[-r : r + 1, -r : r + 1]
+        inside = np.argwhere(np.abs(xx) <= np.floor(np.sqrt(r * r - yy * yy)))
+
+        def extreme(b, pick):
+            p = np.pad(b, r, mode="symmetric")
+            return np.array([[pick([p[y + j, x + i] for j, i in inside]) for x in range(21)] for y in range(13)])
+
+        want = np.maximum(a - extreme(extreme(a, min), max), 0)
+        assert np.allclose(arrays(stencil.rolling_ball_subtract(make_planes({"a": a}), r))["a"], want)
+
+
 def test_sauvola_matches_brute_force(make_planes):
     a, b = RNG.random((10, 12)), 5
     p = np.pad(a, 2, mode="reflect")

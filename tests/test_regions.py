@@ -103,6 +103,20 @@ def test_distance_matches_brute_force(make_masks):
     assert np.allclose(np.array(row["distance"]).reshape(40, 40), want)
 
 
+def test_distance_of_odd_shapes(make_masks):
+    """Single lines and columns, solid masks with one hole, masks without any background."""
+    solid = np.ones((33, 50), bool)
+    solid[7, 41] = False
+    masks = {"line": RNG.random((1, 37)) < 0.8, "column": RNG.random((29, 1)) < 0.8, "solid": solid, "dot": np.zeros((1, 1), bool)}
+    for k, row in {r.image_id: r for r in watershed.distance_transform(make_masks(masks)).collect()}.items():
+        bg = np.argwhere(~masks[k])
+        h, w = masks[k].shape
+        want = [[np.sqrt(((bg - (y, x)) ** 2).sum(1).min()) for x in range(w)] for y in range(h)]
+        assert np.allclose(np.array(row["distance"]).reshape(h, w), want)
+    full = watershed.distance_transform(make_masks({"full": np.ones((4, 5), bool)})).first()
+    assert full["distance"] == [None] * 20
+
+
 def test_touching_disks_split(make_masks):
     touching = disk((40, 40), 20, 12, 8) | disk((40, 40), 20, 28, 8)
     apart = disk((40, 40), 12, 12, 7) | disk((40, 40), 28, 28, 7)
