@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions.names import stem
 from pixelframe.operators.tables import (
-    IMAGE_KEY,
-    OBJECT_KEY,
     OBJECT_KEYS,
+    check_keys,
     classify_tables,
+    merge_keys,
     normalize_columns,
-    require_columns,
     table_catalog,
 )
 
@@ -106,9 +105,8 @@ def load_measurement_tables(
         tables[name], notes = normalize_columns(_read_csv(spark, files[name]), name)
         warnings += notes
     catalog = classify_tables(table_catalog(spark, tables))
-    for row in catalog.orderBy("table").collect():  # one row per table
-        warnings += row["warnings"]
-        if strict and row["legacy"]:
-            keys = OBJECT_KEYS if OBJECT_KEY in row["columns"] else [IMAGE_KEY]
-            require_columns(tables[row["table"]], keys, row["table"])
+    rows = catalog.orderBy("table").collect()  # one row per table
+    warnings += [text for row in rows for text in row["warnings"]]
+    if strict:
+        check_keys(catalog, {row["table"]: merge_keys(row["columns"]) for row in rows if row["legacy"]})
     return LoadedTables(tables, catalog, warnings)

@@ -64,17 +64,6 @@ def _(spark, d):
 
 @query(
     "merge_image_tables",
-    """WITH i AS (SELECT o_orderkey AS Image_Number, '/in/img_' || o_orderkey || '.tif' AS FileName, o_totalprice AS AreaShape_Area FROM orders WHERE o_orderkey % 2 = 0),
-      e AS (SELECT o_orderkey AS Image_Number, c_mktsegment AS Plate_Name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
-      SELECT Image_Number, FileName, AreaShape_Area, Plate_Name FROM i FULL JOIN e USING (Image_Number)""",
-)
-def _(spark, d):
-    images = image_table(spark, d).filter("Image_Number % 2 = 0")
-    return tables.merge_image_tables({"E_Image": images, "E_Experiment": experiment_table(spark, d)})
-
-
-@query(
-    "merge_image_tables_whole",
     """WITH i AS (SELECT o_orderkey AS Image_Number, '/in/img_' || o_orderkey || '.tif' AS FileName, o_totalprice AS AreaShape_Area FROM orders),
       e AS (SELECT o_orderkey AS Image_Number, c_mktsegment AS Plate_Name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
       SELECT Image_Number, FileName, AreaShape_Area, Plate_Name FROM i FULL JOIN e USING (Image_Number)""",
@@ -182,22 +171,6 @@ def _(spark, d):
 
 @query(
     "combine_measurements",
-    """SELECT l_orderkey AS image_id, l_quantity AS area, l_tax AS mean_intensity, NULL::INTEGER AS t_index FROM lineitem WHERE l_returnflag = 'R'
-      UNION ALL SELECT l_orderkey, l_quantity, NULL, l_linenumber FROM lineitem WHERE l_returnflag = 'A'""",
-)
-def _(spark, d):
-    items = table(spark, d, "lineitem")
-    a = items.filter("l_returnflag = 'R'").select(
-        F.col("l_orderkey").alias("image_id"), F.col("l_quantity").alias("area"), F.col("l_tax").alias("mean_intensity")
-    )
-    b = items.filter("l_returnflag = 'A'").select(
-        F.col("l_orderkey").alias("image_id"), F.col("l_quantity").alias("area"), F.col("l_linenumber").alias("t_index")
-    )
-    return tables.combine_measurements([a, b])
-
-
-@query(
-    "combine_measurements_whole",
     """SELECT l_orderkey AS image_id, l_quantity AS area, l_tax AS mean_intensity, NULL::INTEGER AS t_index FROM lineitem WHERE l_returnflag = 'R'
       UNION ALL SELECT l_orderkey, l_quantity, NULL, l_linenumber FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'R'""",
 )
