@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.arrays import (
@@ -24,6 +24,7 @@ from pixelframe.functions.arrays import (
     per_pixel,
     positions,
     power_of_two,
+    total,
     width,
 )
 
@@ -298,61 +299,94 @@ def adaptive_threshold(planes: DataFrame, block_size: int = 51, offset: float =
     )
 
 
+def _prefix_rows(rows: Column, columns: Column) -> Column:
+    """Running sums down the lines, a line of zeros first. Lines are added whole: one addition per pixel."""
+    return F.aggregate(
+        rows,
+        F.array(F.transform(positions(columns), lambda x: F.lit(0.0))),
+        lambda done, row: F.concat(done, F.array(F.zip_with(F.element_at(done, -1), row, lambda a, v: a + v))),
+    )
+
+
+def summed_area(rows: Column, lines: Column, columns: Column) -> Column:
+    """Sums over all rectangles from the corner: entry ``[x][y]`` covers ``x`` columns and ``y`` lines of ``rows``.
+
+    Running sums down the lines, lines turned into columns, running sums again: three steps per pixel, whatever is
+    asked of them afterwards.
+    """
+    turned = bind(
+        _prefix_rows(rows, columns),
+        lambda down: F.transform(positions(columns), lambda x: F.transform(down, lambda row: F.get(row, x))),
+    )
+    return _prefix_rows(turned, lines + 1)
+
+
+def _box(strips: Column, y: Column, x: Column, size: Column) -> Column:
+    return F.get(F.get(strips, x), y + size) - F.get(F.get(strips, x), y)
+
+
+def _usable(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+
+
 def sauvola_mask(pixels: Column, block_size: Column, k: float, r: Column) -> Column:
-    """``v > m·(1 + k·(s/r - 1))`` with the mean and deviation of a square window."""
+    """``v > m·(1 + k·(s/r - 1))`` with the mean and deviation of a square window.
+
+    Windows are four look-ups in sums of the mirrored plane, so the time per pixel does not depend on the block. Sums
+    are taken of differences to the plane's mean, which keeps small deviations on bright planes. A pixel whose window
+    holds a null, NaN or infinite value is background.
+    """
     radius = ((block_size - 1) / 2).cast("int")
+    size = block_size.cast("int")
     count = (block_size * block_size).cast("double")
 
-    def box(rows: Column, ys: Column, y: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.slice(ys, y + 1, block_size.cast("int")),
-            F.lit(0.0),
-            lambda acc, sy: acc + F.get(rows, sy * width() + x),
-        )
+    def decide(p: Column, middle: Column, sums: Column) -> Column:
+        def at(y, x):
+            def above(mean: Column) -> Column:
+                square = _box(sums["two"], y, x, size) / count
+                deviation = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+                return F.get(p, y * width() + x) > (mean + middle) * (1 + k * (deviation / r - 1))
+
+            known = sums["odd"].isNull() | (_box(sums["odd"], y, x, size) == 0)
+            return F.when(known, bind(_box(sums["one"], y, x, size) / count, above)).otherwise(False)
 
-    def row_sums(rows: Column, square: bool) -> Column:
-        return per_pixel(
-            height(),
-            width(),
-            lambda y, x: F.aggregate(
-                F.slice(F.get(rows, y), x + 1, block_size.cast("int")),
-                F.lit(0.0),
-                lambda acc, v: acc + (v * v if square else v),
+        return per_pixel(height(), width(), at)
+
+    def strips(values: Column) -> Column:
+        """Sums of ``size`` neighbouring columns of the mirrored plane, running down the lines."""
+        lines = bind(
+            padded_rows(values, height(), width(), radius, mirror_index),
+            lambda rows: F.transform(border_table(radius, height(), mirror_index), lambda y: F.get(rows, y)),
+        )
+        return bind(
+            summed_area(lines, height() + 2 * radius, width() + 2 * radius),
+            lambda area: F.transform(
+                positions(width()), lambda x: F.zip_with(F.get(area, x + size), F.get(area, x), lambda far, near: far - near)
             ),
         )
 
-    def decide(p, s1, s2, ys):
-        def at(y, x):
-            m = box(s1, ys, y, x) / count
-            return bind(
-                m,
-                lambda mu: F.get(p, y * width() + x)
-                > mu
-                * (
-                    1
-                    + k
-                    * (
-                        F.sqrt(F.greatest(box(s2, ys, y, x) / count - mu * mu, F.lit(0.0))) / r
-                        - 1
-                    )
+    def centred(p: Column, plane: Column) -> Column:
+        apart = F.transform(p, lambda v: F.when(plane["usable"] | _usable(v), v - plane["middle"]).otherwise(0.0))
+        flags = bind(F.transform(p, lambda v: F.when(_usable(v), 0.0).otherwise(1.0)), strips)
+        return bind(
+            apart,
+            lambda d: bind(
+                F.struct(
+                    strips(d).alias("one"),
+                    bind(F.transform(d, lambda v: v * v), strips).alias("two"),
+                    F.when(~plane["usable"], flags).alias("odd"),
                 ),
-            )
+                lambda sums: decide(p, plane["middle"], sums),
+            ),
+        )
 
-        return per_pixel(height(), width(), at)
+    def mask(p: Column) -> Column:
+        good = F.filter(p, _usable)
+        middle = F.coalesce(F.try_divide(total(good), F.size(good)), F.lit(0.0))
+        plane = F.struct(F.forall(p, _usable).alias("usable"), middle.alias("middle"))
+        return bind(plane, lambda known: centred(p, known))
 
-    return bind(
-        pixels,
-        lambda p: bind(
-            padded_rows(p, height(), width(), radius, mirror_index),
-            lambda rows: bind(
-                border_table(radius, height(), mirror_index),
-                lambda ys: bind(
-                    row_sums(rows, False),
-                    lambda s1: bind(row_sums(rows, True), lambda s2: decide(p, s1, s2, ys)),
-                ),
-            ),
-        ),
-    )
+    return bind(pixels, mask)
 
 
 def sauvola_threshold(
@@ -366,17 +400,20 @@ def sauvola_threshold(
     )
 
 
-def integral_image(pixels: DataFrame, value: str = "v") -> DataFrame:
-    """Inclusive 2-D prefix sums of a pixel table, one scanline then one column at a time.
+def integral_image(planes: DataFrame, name: str = "integral") -> DataFrame:
+    """Add the inclusive 2-D prefix sums of every plane as an array like ``pixels``; nulls count as zero.
 
-    Window groups are single rows and single columns of a plane, so no task ever holds
-    more than one side length of pixels per group.
+    The sums are built inside the plane's row: nothing is exploded or shuffled.
     """
-    along_x = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    along_y = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = pixels.select("image_id", "y", "x", F.sum(value).over(along_x).alias("row_sum"))
-    return rows.select("image_id", "y", "x", F.sum("row_sum").over(along_y).alias("integral"))
+
+    def sums(p: Column) -> Column:
+        rows = F.transform(
+            positions(height()),
+            lambda y: F.transform(positions(width()), lambda x: F.coalesce(F.get(p, y * width() + x).cast("double"), F.lit(0.0))),
+        )
+        return bind(
+            summed_area(rows, height(), width()),
+            lambda area: per_pixel(height(), width(), lambda y, x: F.get(F.get(area, x + 1), y + 1)),
+        )
+
+    return planes.withColumn(name, bind(F.col("pixels"), sums))

@@ -502,7 +502,38 @@ def _(spark, d):
       FROM (SELECT image_id, y, x, sum(v) OVER (PARTITION BY image_id, y ORDER BY x) AS s FROM px)""",
 )
 def _(spark, d):
-    return stencil.integral_image(pixel_rows(planes(spark, d))).withColumn(
+    return pixel_rows(stencil.integral_image(planes(spark, d)), "integral", "integral").withColumn(
+        "integral", F.round("integral", 6)
+    )
+
+
+# Larger planes, and blocks of 31: mirrored lines first, then mirrored columns.
+@query(
+    "sauvola_threshold_sheets",
+    f"""WITH {SHEETS}, o AS (SELECT unnest(range(-15, 16)) AS k),
+      size AS (SELECT image_id, max(y) AS last, CASE WHEN max(v) <= 0 THEN 1.0 ELSE max(v) END AS r FROM px GROUP BY 1),
+      down AS (SELECT p.image_id, p.y, q.x, sum(q.v) AS s1, sum(q.v * q.v) AS s2
+        FROM (SELECT DISTINCT image_id, y, last FROM px JOIN size USING (image_id)) p, o JOIN px q ON q.image_id = p.image_id
+          AND q.y = (CASE WHEN p.y + k < 0 THEN -(p.y + k) WHEN p.y + k > last THEN 2 * last - (p.y + k) ELSE p.y + k END)
+        GROUP BY 1, 2, 3),
+      w AS (SELECT p.image_id, p.y, p.x, any_value(p.v) AS v, sum(s1) / 961 AS m, sum(s2) / 961 AS m2
+        FROM px p, o JOIN down q ON q.image_id = p.image_id AND q.y = p.y
+          AND q.x = (CASE WHEN p.x + k < 0 THEN -(p.x + k) WHEN p.x + k > 63 THEN 126 - (p.x + k) ELSE p.x + k END)
+        GROUP BY 1, 2, 3)
+      SELECT image_id, y, x, v > m * (1 + 0.2::DOUBLE * (sqrt(greatest(m2 - m * m, 0)) / r - 1)) AS m
+      FROM w JOIN size USING (image_id)""",
+)
+def _(spark, d):
+    return pixel_rows(stencil.sauvola_threshold(sheets(spark, d), 31), "mask", "m")
+
+
+@query(
+    "integral_image_sheets",
+    f"""WITH {SHEETS} SELECT image_id, y, x, round(sum(s) OVER (PARTITION BY image_id, x ORDER BY y), 6) AS integral
+      FROM (SELECT image_id, y, x, sum(v) OVER (PARTITION BY image_id, y ORDER BY x) AS s FROM px)""",
+)
+def _(spark, d):
+    return pixel_rows(stencil.integral_image(sheets(spark, d)), "integral", "integral").withColumn(
         "integral", F.round("integral", 6)
     )
 

@@ -96,6 +96,40 @@ def test_sauvola_matches_brute_force(make_planes):
         stencil.sauvola_threshold(make_planes({"a": a}), 4)
 
 
+@pytest.mark.parametrize("shape, b", [((1, 1), 3), ((1, 9), 5), ((9, 1), 5), ((7, 5), 31), ((40, 33), 9)])
+def test_sauvola_shapes_blocks_and_bright_planes(make_planes, shape, b):
+    a = RNG.random(shape) + 1e6  # small deviations on a bright plane
+    r = b // 2
+    ys, xs = (np.abs(np.arange(-r, n + r)) for n in shape)
+    ys, xs = (np.where(n == 1, 0, i % max(2 * (n - 1), 1)) for i, n in zip((ys, xs), shape))
+    ys, xs = (np.where(i < n, i, 2 * (n - 1) - i) for i, n in zip((ys, xs), shape))
+    p = a[np.ix_(ys, xs)]
+    win = np.stack([p[i : i + shape[0], j : j + shape[1]] for i in range(b) for j in range(b)])
+    want = a > win.mean(0) * (1 + 1e-6 * (win.std(0) / 0.25 - 1))
+    got = arrays(stencil.sauvola_threshold(make_planes({"a": a}), b, 1e-6, 0.25), "mask")["a"]
+    assert np.array_equal(got.astype(bool), want)
+
+
+def test_sauvola_keeps_odd_values_to_their_windows(make_planes):
+    a = RNG.random((12, 11)) + 1
+    for odd in (np.nan, np.inf):
+        bad = a.copy()
+        bad[4, 5] = odd
+        clean, got = (
+            arrays(stencil.sauvola_threshold(make_planes({"a": v}), 3, r=2.0), "mask")["a"].astype(bool) for v in (a, bad)
+        )
+        near = np.zeros((12, 11), bool)
+        near[3:6, 4:7] = True
+        assert not got[near].any() and np.array_equal(got[~near], clean[~near])
+
+
+def test_integral_image_is_the_sum_of_the_corner(make_planes):
+    images = {"a": RNG.random((9, 14)), "line": RNG.random((1, 6)), "one": np.array([[3.0]])}
+    got = arrays(stencil.integral_image(make_planes(images)), "integral")
+    for name, a in images.items():
+        assert np.allclose(got[name], a.cumsum(0).cumsum(1)), name
+
+
 def test_otsu_constant_and_bimodal(make_planes):
     half = np.zeros((30, 40))
     half[:, 20:] = 200
