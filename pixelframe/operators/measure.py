@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.functions.names import resolve_method
-from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import attach_intensity, label_objects
 from pixelframe.sources.planes import explode_pixels
 
@@ -61,8 +65,7 @@ def z_project(planes: DataFrame, method: str | None = "max") -> DataFrame:
     """Project every stack along depth, per time and channel: ``(stack_id, [t_index, c_index,] y, x, v)``.
 
     Times and channels count if the planes have them. Pixels of a stack stay spread over all its places; every
-    method but the median combines partial results before the shuffle. The median numbers the values of a place
-    in sorted partitions and averages the middle ones, so no place is ever held as a whole.
+    method combines partial results before the shuffle; the median does so by counting (``middle_values``).
     """
     reducers = {"average": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "standard": F.stddev_pop}
     chosen = resolve_method(method)
@@ -71,10 +74,101 @@ def z_project(planes: DataFrame, method: str | None = "max") -> DataFrame:
     pixels = explode_pixels(planes.select("stack_id", *apart, "width", "pixels")).select(*keys, "v")
     if chosen != "median":
         return pixels.groupBy(*keys).agg(reducers[chosen]("v").alias("v"))
-    sizes = pixels.where(F.col("v").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    placed = ordinal(pixels.where(F.col("v").isNotNull()), keys, ["v"], "k").join(sizes, keys)
-    middle = F.col("k").isin(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
-    return placed.where(middle).groupBy(*keys).agg(F.avg("v").alias("v"))
+    return middle_values(pixels, keys)
+
+
+def middle_values(values: DataFrame, keys: Sequence[str], few: int = 1024) -> DataFrame:
+    """Exact median ``v`` of the values of every group: the mean of the two middle ones if their number is even.
+
+    Counts per group and value range tell the range that holds the middle, and only that range is counted again, so
+    groups of any size are reduced by partial aggregation and nothing is sorted as a whole. The last ``few`` values of
+    a group at most are gathered. Nulls do not count, NaN is the largest value, and groups of nulls are left out.
+    """
+    known = values.where(F.col("v").isNotNull()).select(*keys, "v")
+    state = durable(
+        known.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .withColumns({"lower": F.expr("(n + 1) div 2"), "upper": F.expr("(n + 2) div 2")})
+    )
+    short, settled = [], []
+    while True:
+        short.append(state.where(F.col("n") <= few))
+        long = state.where(F.col("n") > few)
+        if long.isEmpty():
+            break
+        found = durable(_narrowed(known, long, keys))
+        settled.append(found.where("done").select(*keys, "v"))
+        state = found.where("NOT done").drop("done", "v")
+    gathered = (
+        _within(known, reduce(DataFrame.unionByName, short), keys)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("v")).alias("all"), F.min("lower").alias("lower"), F.min("upper").alias("upper"))
+        .select(*keys, _between(F.get("all", F.col("lower") - 1), F.get("all", F.col("upper") - 1)).alias("v"))
+    )
+    return reduce(DataFrame.unionByName, settled, gathered)
+
+
+def _between(a: Column, b: Column) -> Column:
+    return F.when(F.col("lower") == F.col("upper"), a).otherwise((a + b) / 2)
+
+
+def _within(known: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values of the groups of ``state`` inside their range; keys may be null."""
+    here = state.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return known.join(here, same).drop(*here.columns[: len(keys)]).where(F.col("v").between(F.col("lo"), F.col("hi")))
+
+
+def _narrowed(known: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each group's part that holds the middle, or the median where that part is a single value (``done``).
+
+    The range is cut into 64 parts. Its ends always fall into different ones, so every round leaves fewer values.
+    """
+    most = F.lit(sys.float_info.max)
+    low, high = F.greatest(F.col("lo"), -most) / 2, F.least(F.col("hi"), most) / 2
+    share = F.coalesce(F.try_divide(F.col("v") / 2 - low, high - low), F.lit(0.0))
+    part = (
+        F.when(F.col("v") <= F.col("lo"), 0)
+        .when(F.col("v") >= F.col("hi"), 63)
+        .otherwise(F.floor(F.least(F.greatest(share * 62, F.lit(0.0)), F.lit(62.0))))
+    )
+    counts = (
+        _within(known, state, keys)
+        .withColumn("part", part.cast("int"))
+        .groupBy(*keys, "part")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            F.min("lower").alias("lower"),
+            F.min("upper").alias("upper"),
+        )
+    )
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # 64 parts at most
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+
+    def holds(rank: str) -> Column:
+        return (F.col("before") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
+
+    part_of = F.struct("part", "before", "n", "lo", "hi")
+    middle = placed.groupBy(*keys).agg(
+        F.max(F.when(holds("lower"), part_of)).alias("a"),
+        F.max(F.when(holds("upper"), part_of)).alias("b"),
+        F.min("lower").alias("lower"),
+        F.min("upper").alias("upper"),
+    )
+    apart = F.col("a.part") != F.col("b.part")
+    value = F.when(apart, _between(F.col("a.hi"), F.col("b.lo"))).otherwise(F.col("a.lo"))
+    return middle.select(
+        *keys,
+        F.col("a.n").alias("n"),
+        F.col("a.lo").alias("lo"),
+        F.col("a.hi").alias("hi"),
+        (F.col("lower") - F.col("a.before")).alias("lower"),
+        (F.col("upper") - F.col("a.before")).alias("upper"),
+        (apart | (F.col("a.lo") == F.col("a.hi"))).alias("done"),
+        value.alias("v"),
+    )
 
 
 def zmax_intensity(planes: DataFrame) -> DataFrame:

@@ -245,3 +245,34 @@ def test_calibration_rejects_non_positive(spark):
     assert (r["resolution_x"], r["resolution_y"]) == (2.0, 4.0)
     with pytest.raises(Exception, match="positive"):
         df.select(pixelwise.pixel_calibration(F.col("x") - 1, F.col("y"))).collect()
+
+
+@pytest.mark.parametrize("few", [1, 7, 1024])
+def test_middle_values_match_sorting(spark, few):
+    rng = np.random.default_rng(3)
+    inf = float("inf")
+    groups = {
+        "even": rng.normal(size=400),
+        "odd": rng.normal(size=401),
+        "ties": rng.integers(0, 3, 300).astype(float),
+        "same": np.full(50, 2.5),
+        "powers": 2.0 ** np.arange(-60, 61),
+        "apart": np.array([1.0] * 20 + [2.0] * 20),
+        "huge": np.array([-1.7e308, 1.7e308, 3.0, 4.0, 1e308, -1e308, 5.0]),
+        "ends": np.array([-inf, inf, inf, 1.0, 2.0, 3.0, np.nan]),
+        "tiny": np.array([0.0, 5e-324, 5e-324]),
+        "one": np.array([9.0]),
+        None: np.array([4.0, 6.0, 7.0, 8.0]),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("even", None), ("nulls", None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(None if k is None else str(k), None if v is None else float(v)) for k, v in rows], "g string, v double")
+    got = {r["g"]: r["v"] for r in measure.middle_values(df, ["g"], few).collect()}
+    want = {}
+    for k, values in groups.items():
+        s = np.sort(values)  # NaN last
+        a, b = s[(len(s) - 1) // 2], s[len(s) // 2]
+        want[k] = a if len(s) % 2 else (a + b) / 2
+    assert got == want
+    empty = spark.createDataFrame([], df.schema)
+    assert measure.middle_values(empty, ["g"], few).collect() == []
