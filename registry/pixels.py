@@ -751,6 +751,34 @@ def _(spark, d):
     )
 
 
+# Both engines over planes that are 16-bit already and planes that have to be clipped.
+@query(
+    "postprocess_projected_engines",
+    f"""WITH {IPX}, src AS (SELECT image_id, CASE WHEN image_id % 2 = 0 THEN 'uint16' ELSE 'int32' END AS dtype,
+        CASE WHEN image_id % 2 = 0 THEN v ELSE v - 1000 END AS v FROM ipx),
+      run AS (SELECT engine, image_id, dtype, v, CASE WHEN engine = 'python' THEN least(greatest(v, 0), 65535) ELSE v END AS w
+        FROM src, (SELECT unnest(['python', 'fiji']) AS engine))
+      SELECT image_id, engine, dtype AS dtype_before, CASE WHEN engine = 'fiji' THEN 'fiji_preserved'
+          WHEN dtype = 'uint16' THEN 'unchanged_uint16' ELSE 'integer_clipped_to_uint16' END AS action,
+        min(v) AS min_before, max(v) AS max_before, CASE WHEN engine = 'fiji' THEN dtype ELSE 'uint16' END AS dtype_after,
+        min(w) AS min_after, max(w) AS max_after, count(*) FILTER (w <> 0) AS nonzero_after,
+        engine = 'python' AND dtype = 'int32' AS rewritten FROM run GROUP BY ALL""",
+)
+def _(spark, d):
+    even = F.col("image_id") % 2 == 0
+    source = int_planes(spark, d).withColumns(
+        {
+            "dtype": F.when(even, "uint16").otherwise("int32"),
+            "pixels": F.when(even, F.col("pixels")).otherwise(F.transform("pixels", lambda v: v - 1000)),
+        }
+    )
+    both = [stats.postprocess_projected(source, engine) for engine in ("python", "fiji")]
+    return both[0].unionByName(both[1]).select(
+        "image_id", "engine", "dtype_before", "action", "min_before", "max_before", "dtype_after", "min_after", "max_after",
+        "nonzero_after", "rewritten",
+    )
+
+
 _KIND_NAMES = """kn AS (SELECT image_id, y, x, CASE image_id % 7 WHEN 0 THEN 'DNA_mask.tif' WHEN 1 THEN 'labeled_mask.tif'
     WHEN 2 THEN 'Cells_objects.tif' ELSE 'img.tif' END AS filename,
     CASE WHEN image_id % 7 IN (3, 4) THEN 'uint16' ELSE 'float64' END AS dtype,

@@ -536,3 +536,46 @@ def _(spark, d):
 def _(spark, d):
     decisions = adaptive.adaptive_segment(planes(spark, d), min_object_size=3).decisions
     return decisions.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+# Masks of every density on planes of up to 192×192: each pixel of a sheet is drawn as 3×3 pixels, and a quarter of the
+# planes has no foreground. Distances go by columns first, then along the lines.
+_LEVELS = "CASE image_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 0.0 WHEN 2 THEN -0.15 ELSE -0.25 END"
+
+
+def _large_masks(spark, d):
+    small = sheets(spark, d).withColumn("_level", F.expr(_LEVELS))
+    drawn = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.col("height") * 3 - 1),
+            lambda y: F.transform(
+                F.sequence(F.lit(0), F.col("width") * 3 - 1),
+                lambda x: F.get("_mask", (F.floor(y / 3) * F.col("width") + F.floor(x / 3)).cast("int")),
+            ),
+        )
+    )
+    masks = small.withColumn("_mask", F.transform("pixels", lambda v: v > F.col("_level"))).withColumn("mask", drawn)
+    return masks.select("image_id", (F.col("height") * 3).alias("height"), (F.col("width") * 3).alias("width"), "mask")
+
+
+@query(
+    "estimate_block_size_sheets",
+    f"""WITH {SHEETS}, m AS (SELECT image_id, 3 * y + a AS y, 3 * x + b AS x, v > {_LEVELS} AS f FROM px, range(3) AS r(a), range(3) AS s(b)),
+      edge AS (SELECT *, max(CASE WHEN NOT f THEN y END) OVER (PARTITION BY image_id, x ORDER BY y) AS up,
+        min(CASE WHEN NOT f THEN y END) OVER (PARTITION BY image_id, x ORDER BY y DESC) AS down FROM m),
+      g AS (SELECT image_id, y, x, f, least(coalesce(y - up, 100000), coalesce(down - y, 100000)) AS g FROM edge),
+      dist AS (SELECT p.image_id, p.y, p.x, sqrt(min((p.x - q.x) * (p.x - q.x) + q.g * q.g)::DOUBLE) AS d
+        FROM g p JOIN g q ON q.image_id = p.image_id AND q.y = p.y WHERE p.f GROUP BY 1, 2, 3),
+      size AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM m GROUP BY 1),
+      lim AS (SELECT *, CASE WHEN c % 2 = 1 THEN c WHEN c < 101 THEN c + 1 ELSE c - 1 END AS high
+        FROM (SELECT *, least(greatest(least(h, w) // 4, 15), 101) AS c FROM size)),
+      rad AS (SELECT image_id, quantile_cont(d, 0.75) AS r FROM dist WHERE d < 100000 GROUP BY 1),
+      raw AS (SELECT image_id, h, w, high, least(greatest(CASE WHEN r IS NULL THEN high // 2
+          ELSE round_even(greatest(6, r * 2) * 3, 0) END, 15), high)::INTEGER AS c FROM lim LEFT JOIN rad USING (image_id)),
+      blk AS (SELECT *, CASE WHEN c % 2 = 1 THEN c WHEN c < high THEN c + 1 ELSE c - 1 END AS b FROM raw)
+      SELECT image_id, CAST(b AS INTEGER) AS block_size, CAST(least(greatest(20, floor(pi() * pow(greatest(3, b // 6), 2) * 0.35)),
+        greatest(20, h * w // 20)) AS INTEGER) AS min_size FROM blk""",
+)
+def _(spark, d):
+    blocks = stats.estimate_block_size(_large_masks(spark, d))
+    return blocks.join(stats.estimate_min_size(blocks), "image_id").select("image_id", "block_size", "min_size")

@@ -141,19 +141,10 @@ _CATALOG = """cat AS (SELECT c_custkey, 'T' || c_custkey || CASE c_custkey % 5 W
     c_nationkey % 2 = 0 AS img, c_nationkey % 3 = 0 AS obj, c_acctbal < 0 AS kv FROM customer)"""
 
 
-@query(
-    "classify_tables",
-    f"""WITH {_CATALOG}, t AS (SELECT *, CASE WHEN "table" LIKE '%\\_Experiment' ESCAPE '\\' OR kv THEN 'experiment'
-        WHEN "table" LIKE '%\\_Image' ESCAPE '\\' THEN 'image' WHEN "table" LIKE '%IdentifyPrimaryObjects%' OR obj THEN 'object'
-        WHEN img THEN 'image' ELSE 'other' END AS k FROM cat),
-      m AS (SELECT *, img AND (k <> 'object' OR obj) AS ok FROM t)
-      SELECT "table", CASE WHEN ok THEN k ELSE 'non_standard' END AS table_type, NOT ok AS legacy, ok AS mergeable,
-        CASE WHEN ok THEN 0 ELSE 1 END AS n_warnings FROM m""",
-)
-def _(spark, d):
+def _table_names(spark, d):
     k = F.col("c_custkey") % 5
     suffix = F.when(k == 0, "_Experiment").when(k == 1, "_Image").when(k == 2, "_IdentifyPrimaryObjects").otherwise("")
-    catalog = table(spark, d, "customer").select(
+    return table(spark, d, "customer").select(
         F.concat(F.lit("T"), F.col("c_custkey").cast("string"), suffix).alias("table"),
         F.array_compact(
             F.array(
@@ -164,11 +155,39 @@ def _(spark, d):
             )
         ).alias("columns"),
     )
-    return tables.classify_tables(catalog).select(
+
+
+@query(
+    "classify_tables",
+    f"""WITH {_CATALOG}, t AS (SELECT *, CASE WHEN "table" LIKE '%\\_Experiment' ESCAPE '\\' OR kv THEN 'experiment'
+        WHEN "table" LIKE '%\\_Image' ESCAPE '\\' THEN 'image' WHEN "table" LIKE '%IdentifyPrimaryObjects%' OR obj THEN 'object'
+        WHEN img THEN 'image' ELSE 'other' END AS k FROM cat),
+      m AS (SELECT *, img AND (k <> 'object' OR obj) AS ok FROM t)
+      SELECT "table", CASE WHEN ok THEN k ELSE 'non_standard' END AS table_type, NOT ok AS legacy, ok AS mergeable,
+        CASE WHEN ok THEN 0 ELSE 1 END AS n_warnings FROM m""",
+)
+def _(spark, d):
+    return tables.classify_tables(_table_names(spark, d)).select(
         "table", "table_type", "legacy", "mergeable", F.size("warnings").alias("n_warnings")
     )
 
 
+# The same catalog with whole warning texts.
+@query(
+    "classify_tables_warnings",
+    f"""WITH {_CATALOG}, t AS (SELECT *, CASE WHEN "table" LIKE '%\\_Experiment' ESCAPE '\\' OR kv THEN 'experiment'
+        WHEN "table" LIKE '%\\_Image' ESCAPE '\\' THEN 'image' WHEN "table" LIKE '%IdentifyPrimaryObjects%' OR obj THEN 'object'
+        WHEN img THEN 'image' ELSE 'other' END AS k FROM cat),
+      m AS (SELECT *, concat_ws(', ', CASE WHEN NOT img THEN 'Image_Number' END,
+        CASE WHEN k = 'object' AND NOT obj THEN 'ObjectNumber' END) AS lacking FROM t)
+      SELECT "table", CASE WHEN lacking <> '' THEN "table" || ': ' || CASE WHEN k = 'other' THEN '' ELSE k || ' ' END || 'table missing '
+        || lacking || '; loaded as ' || CASE WHEN k = 'other' THEN '' ELSE 'legacy/' END
+        || 'non-standard table and excluded from merge.' END AS warning FROM m""",
+)
+def _(spark, d):
+    return tables.classify_tables(_table_names(spark, d)).select("table", F.get("warnings", F.lit(0)).alias("warning"))
+
+
 @query(
     "combine_measurements",
     """SELECT l_orderkey AS image_id, l_quantity AS area, l_tax AS mean_intensity, NULL::INTEGER AS t_index FROM lineitem WHERE l_returnflag = 'R'
