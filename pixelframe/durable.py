@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: str | None = None
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +37,8 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelframe/{uuid.uuid4().hex}"
+    if (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._durable_path = path
@@ -41,11 +47,27 @@ def durable(df: DataFrame) -> DataFrame:
 
 def discard(written: DataFrame) -> None:
     """Remove a table of :func:`durable` that no later plan reads."""
-    spark = written.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(written._durable_path)
+    _remove(written.sparkSession, written._durable_path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables :func:`durable` wrote inside the block when it ends; results must be stored by then."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
 def durable_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
     """:func:`durable` with the number of (matching) rows, counted by the writing job itself."""
     seen = Observation()
