@@ -10,16 +10,21 @@ from pixelframe.functions.arrays import bind
 BINS = 256
 
 
-def occupied_bins(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
+def occupied_bins(
+    pixels: Column, dtype: Column, bins: int = BINS, low: Column | None = None, high: Column | None = None
+) -> Column:
     """``array<struct<bin, center, n>>`` of the occupied bins of a plane, ascending.
 
+    ``low`` and ``high`` are the extremes of the whole plane where ``pixels`` are only a part of it.
+
     Integer planes have one bin per value; float planes have ``bins`` equal bins between their extremes. The
     pixels are sorted once, so every bin is a run of neighbours and its size the distance of two run ends.
     """
     integer = dtype.rlike("^u?int")
 
     def of(v: Column) -> Column:
-        lo, hi = F.get(v, F.lit(0)), F.get(v, F.size(v) - 1)
+        lo = F.get(v, F.lit(0)) if low is None else low
+        hi = F.get(v, F.size(v) - 1) if high is None else high
         exact = integer | (lo == hi)
         width = (hi - lo) / bins
         shape = F.struct(
@@ -56,11 +61,11 @@ def intensity_histogram(planes: DataFrame, bins: int = BINS) -> DataFrame:
     return found.select("image_id", "b.*")
 
 
-def otsu_of(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
-    """Bin centre with the largest between-class variance, as one expression; the first of equal ones.
+def best_bin(found: Column) -> Column:
+    """Centre of the occupied bin with the largest between-class variance; the first of equal ones.
 
     Empty bins cannot improve the variance of the occupied bin before them, so only occupied bins are tried. A
-    constant plane returns its value.
+    single bin returns its centre.
     """
 
     def best(hist: Column) -> Column:
@@ -90,7 +95,12 @@ def otsu_of(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
 
         return bind(whole, lambda a: F.aggregate(hist, start, lambda t, x: step(t, x, a), lambda t: t["threshold"]))
 
-    return bind(occupied_bins(pixels, dtype, bins), best)
+    return bind(found, best)
+
+
+def otsu_of(pixels: Column, dtype: Column, bins: int = BINS) -> Column:
+    """Otsu's threshold of a plane as one expression; a constant plane returns its value."""
+    return best_bin(occupied_bins(pixels, dtype, bins))
 
 
 def otsu_value(planes: DataFrame, bins: int = BINS) -> DataFrame:

@@ -390,10 +390,10 @@ def sauvola_mask(pixels: Column, block_size: Column, k: float, r: Column) -> Col
 
 
 def sauvola_threshold(
-    planes: DataFrame, block_size: int = 51, k: float = 0.2, r: float | None = None
+    planes: DataFrame, block_size: int = 51, k: float = 0.2, r: float | Column | None = None
 ) -> DataFrame:
     _check_block(block_size)
-    dynamic = F.array_max("pixels") if r is None else F.lit(float(r))
+    dynamic = F.array_max("pixels") if r is None else as_column(r).cast("double")
     dynamic = F.when(dynamic <= 0, F.lit(1.0)).otherwise(dynamic)
     return planes.withColumn(
         "mask", bind(dynamic, lambda d: sauvola_mask(F.col("pixels"), F.lit(block_size), k, d))
