@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from registry import pixels, regions, runs, tables  # noqa: F401
+    from registry import bands, pixels, regions, runs, tables  # noqa: F401

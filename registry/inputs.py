@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelframe.operators.bands import bands_from_lines
 from pixelframe.operators.ranking import ordinal
 from pixelframe.sources.planes import planes_from_arrays
 
@@ -49,6 +50,14 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plane that grows with the table, in bands of 48 lines: vector after vector in order of id is its next line."""
+    lines = ordinal(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [], ["vec_id"], "n").select(
+        F.lit(0).cast("bigint").alias("image_id"), (F.col("n") - 1).alias("y"), F.col("embedding").alias("line")
+    )
+    return bands_from_lines(lines, lines.groupBy("image_id").agg(F.count("y").alias("plane_height")), 48)
+
+
 def int_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes(spark, sf_dir).withColumns(
         {
@@ -84,6 +93,15 @@ SHEETS = """px AS (
          CAST(embedding[i] AS DOUBLE) AS v
   FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), range(1, 65) AS t(i))"""
 
+def long_sql(value: str = "e") -> str:
+    """``px`` of :func:`long_plane`, with pixels made from the vector components ``e``."""
+    return f"""px AS (
+  SELECT CAST(0 AS BIGINT) AS image_id, CAST(r - 1 AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, {value} AS v
+  FROM (SELECT r, i, CAST(embedding[i] AS DOUBLE) AS e
+    FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), range(1, 65) AS t(i))),
+  dim AS (SELECT CAST(max(y) AS INTEGER) AS last FROM px)"""
+
+
 IPX = """ipx AS (
   SELECT vec_id AS image_id, label AS stack_id,
          CAST((i - 1) // 8 AS INTEGER) AS y, CAST((i - 1) % 8 AS INTEGER) AS x,
