@@ -233,3 +233,35 @@ def test_files_win_over_captured_text(spark):
     captured = spark.createDataFrame([("r1", "out", "memory"), ("r1", "err", "memory"), ("r2", "out", "memory")], schema)
     got = sorted(map(tuple, prefer_files(files, captured).collect()))
     assert got == [("r1", "err", "memory"), ("r1", "out", "disk"), ("r2", "out", "memory")]
+
+
+def test_layers_are_found_by_their_rarest_gram(spark):
+    """Against every pair of names: repeated names, one-letter and empty stems, non-Latin letters, hot words, nulls."""
+    import random
+
+    from pixelframe.operators.layers import match_outputs
+
+    rng = random.Random(4)
+    words = ["", "a", "img", "img_0", "cell_β", "plate", "plate_01", "x" * 17, "ab", "ba", "abab"]
+    stems = {rng.choice(words) + rng.choice(words) + rng.choice(["", "_1", "_22", "é"]) for _ in range(40)} | {"", "a"}
+    images = [(f"{s}.oir" if s else "",) for s in sorted(stems)] + [("img.oir",), (None,)]
+    paths = [f"/out/{rng.randrange(3)}/{rng.choice(words)}{rng.choice(words)}{rng.randrange(30)}{rng.choice(['.tif', '.tiff', '.TIFF'])}" for _ in range(150)]
+    paths += ["/out/img.tiff", "/other/img.tif"]
+    layers = [(p,) for p in [*paths, None]]
+    found = match_outputs(spark.createDataFrame(images, "image_name string"), spark.createDataFrame(layers, "layer_path string"))
+
+    def cut(path):
+        name = path.rsplit("/", 1)[-1]
+        return name.rsplit(".", 1)[0] if "." in name[1:] else name
+
+    def expected(name):
+        if name is None:
+            return None
+        ranked = sorted(paths, key=lambda p: (p.lower().endswith(".tiff"), p))
+        same = [p for p in ranked if cut(p) == cut(name)]
+        return next(iter(same + [p for p in ranked if cut(name) in cut(p)]), None)
+
+    got = sorted((r["image_name"] or "", r["layer_path"] or "") for r in found.collect())
+    assert got == sorted((n or "", expected(n) or "") for (n,) in images)
+    none = spark.createDataFrame([], "layer_path string")
+    assert {r["layer_path"] for r in match_outputs(spark.createDataFrame(images, "image_name string"), none).collect()} == {None}
