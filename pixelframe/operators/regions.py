@@ -235,7 +235,7 @@ def component_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
 
 def label_objects(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     """Runs with ``label`` 1..n per image, numbered by the first pixel in raster order."""
-    rooted = component_runs(runs, connectivity)
+    rooted = durable(component_runs(runs, connectivity))  # read twice: the rounds are composed once
     numbered = number_components(rooted)
     return rooted.join(numbered, ["image_id", "root"]).drop("root")
 
