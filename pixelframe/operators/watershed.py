@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.durable import discard, durable, durable_counted
+from pixelframe.durable import discard, durable, durable_counted, spread
 from pixelframe.functions.arrays import bind, height, per_pixel, positions, power_of_two, width
 from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import (
@@ -195,7 +195,7 @@ def peak_markers(planes: DataFrame, min_distance: int = 8, ratio: float = 0.5) -
             rivals.join(winners, ["image_id", "p"], "left_semi").select("image_id", "q").distinct()
         )
         removed = losers if removed is None else durable(removed.unionByName(losers))
-        decided = winners.unionByName(losers.select("image_id", F.col("q").alias("p")))
+        decided = spread(winners.unionByName(losers.select("image_id", F.col("q").alias("p"))), undecided)
         rivals, undecided = durable_counted(
             rivals.join(decided, ["image_id", "p"], "left_anti").join(
                 losers, ["image_id", "q"], "left_anti"
@@ -403,16 +403,17 @@ def split_touching(
     """
     slim = planes.select("image_id", "height", "width", F.col(mask).alias("mask"))
     runs = component_runs(mask_runs(slim), 4)
-    measured = distance_transform(slim)
+    measured = durable(distance_transform(slim).select("image_id", "height", "width", "distance"))
     markers = durable(peak_markers(measured, min_distance, min_peak_ratio))
 
     seeds = markers.join(
         runs.select("image_id", "y", "x0", "x1", "root"), ["image_id", "y"]
     ).filter(F.col("x").between(F.col("x0"), F.col("x1")))
-    per_region = durable(
+    per_region, several = durable_counted(
         seeds.groupBy("image_id", "root").agg(
             F.count(F.lit(1)).alias("seeds"), F.min("marker").alias("label")
-        )
+        ),
+        F.col("seeds") > 1,
     )
     single = runs.join(
         per_region.filter("seeds = 1").select("image_id", "root", "label"), ["image_id", "root"]
@@ -422,14 +423,14 @@ def split_touching(
         per_region.filter("seeds > 1").select("image_id", "root"), ["image_id", "root"], "left_semi"
     ).select("image_id", "height", "width", "y", "x0", "x1")
     lines = scan_distance(measured)
-    shape = crowded.select("image_id", "height", "width").distinct()
+    shape = spread(crowded.select("image_id", "height", "width").distinct(), several)
     crowded_pixels = (
         crowded.join(lines, ["image_id", "y"])
         .select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "line")
         .select("image_id", "y", "x", F.get("line", F.col("x")).alias("distance"))
     )
-    crowded_seeds = seeds.join(
-        per_region.filter("seeds > 1").select("image_id", "root"), ["image_id", "root"], "left_semi"
+    crowded_seeds = spread(
+        seeds.join(per_region.filter("seeds > 1").select("image_id", "root"), ["image_id", "root"], "left_semi"), several
     )
     grown = FLOODING[flooding](crowded_pixels, crowded_seeds).withColumnRenamed("marker", "label")
     flooded = runs_from_labels(grown.join(shape, "image_id"))
