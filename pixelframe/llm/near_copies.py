@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by the Jaccard similarity of word shingles, proposed by fingerprints and compared exactly.
+
+SimHash fingerprints (:mod:`.simhash`, as op3 links them) propose pairs; the exact similarity decides on each. Fingerprints
+of few differing bits miss most pairs near the limit, so a second search, exact as well, adds those.
 
 MinHash bands tell which texts can have a near copy at all: a pair of similarity ``s`` shares one of the 16 bands of four
 minima with probability ``1 - (1 - s**4)**16``, 0.9998 at 0.8. The pairs among those texts come from a prefix-filtered
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.durable import durable
+from pixelframe.llm import simhash
 from pixelframe.llm.columns import packed, unpacked
 from pixelframe.llm.components import components
 from pixelframe.llm.sentence_spans import _UNSPACED
@@ -176,14 +180,27 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
     return found.unionByName(_similar(pairs, sets, similarity))
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``nodes`` (``node, fp``) with linked fingerprints; all nodes of a fingerprint meet its smallest one."""
+    least = durable(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    linked = simhash.links(least)
+    for end, name in (("src", "a"), ("dst", "b")):
+        linked = linked.join(least.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
+    equal = nodes.join(least, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return durable(linked.select("a", "b").unionByName(equal))
+
+
 def links(found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``src, dst``: links between nodes of ``found`` (``node, size, bands, row, text``) of at least ``similarity``."""
-    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min("row").alias("row"))
+    """``src, dst``: links between nodes of ``found`` (``node, size, bands, fp, row, text``) of at least ``similarity``."""
+    nodes = found.groupBy("node").agg(F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.min("row").alias("row"))
     nodes = durable(nodes)
-    wanted = alive(nodes).join(nodes.select("node", "row"), "node").select("row")
+    pairs = proposed(nodes.select("node", "fp"))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    wanted = alive(nodes).unionByName(ends).distinct().join(nodes.select("node", "row"), "node").select("row")
     texts = found.select("row", "node", "size", "text").join(durable(wanted), "row")
     tokens = durable(texts.select("node", "size", F.explode(_shingle_sets(words)(F.col("text"))).alias("h")))
-    return set_links(ordered_sets(tokens, similarity), similarity)
+    sets = ordered_sets(tokens, similarity)
+    return set_links(sets, similarity).unionByName(_similar(pairs, sets, similarity))
 
 
 def keep_one(
@@ -198,10 +215,15 @@ def keep_one(
     """
     prepare(docs.sparkSession)
     found = packed(docs, doc_id=id_col, text=text_col).select(
-        "doc", "doc_id", "text", _signature(words)(F.col("text")).alias("s"), F.monotonically_increasing_id().alias("row")
+        "doc",
+        "doc_id",
+        "text",
+        _signature(words)(F.col("text")).alias("s"),
+        simhash.fingerprint()(F.col("text")).alias("fp"),
+        F.monotonically_increasing_id().alias("row"),
     )
     place = docs.columns.index(text_col)
-    found = durable(found.select("doc", "doc_id", "row", "s.*"))
+    found = durable(found.select("doc", "doc_id", "row", "fp", "s.*"))
     roots = components(links(found.withColumn("text", F.col(f"doc._{place}")), words, similarity))
     placed = found.select("node", "doc_id", "row").join(roots, "node", "left")
     at = F.struct(F.isnull("doc_id"), "doc_id", "row").alias("at")
