@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.durable import shared_folder
+from pixelframe.durable import passing_tables, shared_folder
 from pixelframe.llm import byte_bpe, decontamination, language_crf, near_copies, sentence_spans
 from pixelframe.llm.queries import BYTE_BPE
 
@@ -19,7 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: Jaccard 0.8 or more over shingles of five words."""
+    """One document of every group of near copies: proposed by op3's fingerprints, Jaccard 0.8 or more over shingles of five words."""
     return near_copies.keep_one(docs)
 
 
@@ -57,6 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing_tables(spark):  # a stage's own tables go with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
