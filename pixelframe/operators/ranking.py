@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 from pixelframe.durable import durable
 
 
+def _beside(df: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``df`` with the ``_before`` of its group; a null key is a group like any other."""
+    named = offsets.select(*[F.col(c).alias(f"_key{k}") for k, c in enumerate(group)], "_before")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_key{k}")) for k, c in enumerate(group)])
+    return df.join(named, same).drop(*[f"_key{k}" for k in range(len(group))])
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name`` = 1-based position inside each key group, by ``order`` ascending.
 
@@ -29,8 +37,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return (
-        parted.withColumn("_local", local)
-        .join(offsets, group)
+        _beside(parted.withColumn("_local", local), offsets, group)
         .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_local", "_before", "_part")
     )
@@ -51,8 +58,7 @@ def chunked_ordinal(
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy(*group).orderBy(order))
     return (
-        with_chunk.withColumn("_local", local)
-        .join(offsets, group)
+        _beside(with_chunk.withColumn("_local", local), offsets, group)
         .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_local", "_before", "_chunk")
     )
@@ -75,8 +81,7 @@ def running_count(
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        with_chunk.withColumn("_local", F.sum("_flag").over(upto))
-        .join(offsets, group)
+        _beside(with_chunk.withColumn("_local", F.sum("_flag").over(upto)), offsets, group)
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_local", "_before", "_chunk", "_flag")
     )
