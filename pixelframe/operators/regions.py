@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelframe.durable import durable, durable_counted
+from pixelframe.durable import durable, durable_counted, spread
 from pixelframe.functions.arrays import bind, positions
 from pixelframe.operators.ranking import chunked_ordinal
 
@@ -203,7 +203,7 @@ def component_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select("image_id", F.col("a").alias("id"), F.least("a", "_m").alias("to"))
         )
         for _ in range(2):
-            hooks = _follow(hooks, hooks, "to")
+            hooks = spread(_follow(spread(hooks, open_links), spread(hooks, open_links), "to"), open_links)
         mapping = _follow(mapping, hooks, "root")
         links, open_links = durable_counted(
             _follow(_follow(links, hooks, "a"), hooks, "b")
@@ -225,17 +225,20 @@ def _follow(df: DataFrame, hops: DataFrame, column: str) -> DataFrame:
 
 
 def component_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
-    """Runs with ``root``: the raster position of the first pixel of their component."""
+    """Runs with ``root``: the raster position of the first pixel of their component.
+
+    A written table: callers read it more than once, and the rounds are composed once.
+    """
     runs = durable(runs)
     ident = F.col("y").cast("bigint") * F.col("width") + F.col("x0")
     with_id = runs.withColumn("id", ident)
     roots = component_roots(with_id.select("image_id", "id"), touching_runs(runs, connectivity))
-    return with_id.join(roots, ["image_id", "id"]).drop("id")
+    return durable(with_id.join(roots, ["image_id", "id"]).drop("id"))
 
 
 def label_objects(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     """Runs with ``label`` 1..n per image, numbered by the first pixel in raster order."""
-    rooted = durable(component_runs(runs, connectivity))  # read twice: the rounds are composed once
+    rooted = component_runs(runs, connectivity)
     numbered = number_components(rooted)
     return rooted.join(numbered, ["image_id", "root"]).drop("root")
 
