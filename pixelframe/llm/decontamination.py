@@ -34,7 +34,7 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - _BITS)).astype(np.int64), (h & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
 
-def _bit_table(shingles: DataFrame) -> np.ndarray:
+def bit_table(shingles: DataFrame) -> np.ndarray:
     """Bits of both places of every ``h``; at most ``2 ** 19`` words of 32 bits come to the driver."""
     both = F.array(F.shiftrightunsigned("h", 64 - _BITS), F.col("h").bitwiseAND(F.lit((1 << _BITS) - 1)))
     found = (
@@ -49,7 +49,7 @@ def _bit_table(shingles: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def _known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+def known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     one, two = _places(h)
     return (table[one >> 3] >> (one & 7) & table[two >> 3] >> (two & 7) & 1).astype(bool)
 
@@ -87,7 +87,7 @@ def _count(texts: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
         found = words(batch.column(0))
         row = found.row()
         hashes = np.concatenate([found.shingles(size, row)[0] for size in sizes])
-        h, times = np.unique(hashes[_known(table, hashes)], return_counts=True)
+        h, times = np.unique(hashes[known(table, hashes)], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"])
 
     seen = map_slices(texts, run, "h bigint, times bigint", "text")
@@ -106,7 +106,7 @@ def _places_in_documents(docs: DataFrame, table: np.ndarray, sizes: list[int], w
         row, places = found.row(), [[] for _ in range(batch.num_rows)]
         for size in sizes:
             h, first = found.shingles(size, row)
-            hit = _known(table, h)
+            hit = known(table, h)
             for value, at in zip(h[hit].view(np.int64).tolist(), first[hit].tolist()):
                 r = int(row[at])
                 a, b = int(found.firsts[r]), int(found.firsts[r + 1])
@@ -154,7 +154,7 @@ def contamination(
     unique = windows.groupBy("words", "n").agg(F.first("shingles").alias("shingles"))
     shingles = unique.select("words", "n", F.posexplode("shingles").alias("offset", "h"))
     texts = take(docs, doc_id=id_col, text=text_col).select(row_key("doc_id", "text").alias("key"), "text", "doc_id")
-    times = _count(texts.select("text"), _bit_table(shingles.select("h").distinct()), sizes)
+    times = _count(texts.select("text"), bit_table(shingles.select("h").distinct()), sizes)
     order = F.struct(F.coalesce("times", F.lit(0)).alias("times"), "offset", "h")
     prefixes = durable(
         shingles.join(times, "h", "left")
@@ -163,7 +163,7 @@ def contamination(
         .select("words", "n", "p.offset", "p.h")
     )
     listed = durable(
-        _places_in_documents(texts, _bit_table(prefixes.select("h").distinct()), sizes, window)
+        _places_in_documents(texts, bit_table(prefixes.select("h").distinct()), sizes, window)
     )
     places = listed.select("key", "n_words", F.explode("places").alias("p")).select("key", "n_words", "p.*")
     start = F.col("at") - F.col("offset")

@@ -3,7 +3,9 @@
 A text is cut into sentences; every run of several consecutive sentences that just reaches ``min_words`` words
 is hashed (128 bits of the words, white space apart), and runs meet by hash over the whole corpus. A sentence
 goes if it lies in a run that is not the first with its hash; the first stands in the document with the
-smallest id, at its smallest place. What remains of a text keeps its own white space.
+smallest id, at its smallest place. What remains of a text keeps its own white space. Runs are counted by half of
+their hash, and only those that share it move with the whole; of the texts only those that may lose a sentence move,
+told by a bit table of fixed size (the join decides).
 
 With ``context``, a single sentence is also hashed with words on one side of it, half of what it lacks to
 ``long_sentence`` words: a verbatim passage of that length around a whole sentence holds one of the two runs,
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.durable import durable
 from pixelframe.llm.columns import packed, unpacked
+from pixelframe.llm.decontamination import bit_table, known
 from pixelframe.llm.wordhash import hash_runs, mixed, raw
 from pixelframe.llm.workers import map_slices, prepare, text_expression
 
@@ -283,24 +286,28 @@ def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col, contex
     prepare(docs.sparkSession)
     whole = packed(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     found = spans(whole.select("key", "doc_id", "text"), min_words, min_sentences, long_sentence, context)
-    repeated = durable(
-        found.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("id"), F.count_if(F.isnull("doc_id")).alias("nulls"))
-        .where("times > 1")
-        .select("h1", "h2", F.when(F.col("nulls") == 0, F.col("id")).alias("least"))
-    )
-    met = durable(found.join(repeated, ["h1", "h2"]))
-    at_least = F.col("doc_id").eqNullSafe(F.col("least"))  # in the first document; null ids come first
-    origins = met.where(at_least).groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("origin"))
-    later = met.where(~at_least).select("doc_id", "key", "first", "after")
-    again = met.where(at_least).join(origins, ["h1", "h2"]).where(F.struct("key", "first") != F.col("origin"))
-    gone = (
-        later.unionByName(again.select("doc_id", "key", "first", "after"))
+    shared = durable(found.groupBy("h1").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h1"))
+    met = durable(found.join(shared, "h1"))  # half of the hash selects, the whole decides
+    place = F.struct("doc_id", "key", "first")  # a null id comes first
+    origins = durable(met.groupBy("h1", "h2").agg(F.min(place).alias("origin")))
+    gone = durable(
+        met.join(origins, ["h1", "h2"])
+        .where(~place.eqNullSafe(F.col("origin")))
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("first", "after")).alias("ranges"))
     )
-    a, b = whole.alias("a"), gone.alias("b")
+    table = bit_table(gone.select(F.col("key").alias("h")))
+    whole = whole.drop("text")
+
+    @F.arrow_udf("boolean")
+    def concerned(keys: pa.Array) -> pa.Array:
+        return pa.array(known(table, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    a, b = whole.where(concerned("key")).alias("a"), gone.alias("b")
     same = (F.col("a.key") == F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    ranges = F.lit(None).cast(gone.schema["ranges"].dataType).alias("ranges")
+    others = whole.where(~concerned("key")).select("doc", "doc_id", ranges)  # texts that stay need not move
+    marked = others.unionByName(a.join(b, same, "left").select("a.doc", "a.doc_id", "b.ranges"))
 
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         found, out, removed = sentences(texts), texts.to_pylist(), np.zeros(len(texts), np.int64)
@@ -314,8 +321,8 @@ def _cut(docs, min_words, min_sentences, long_sentence, id_col, text_col, contex
         return pa.StructArray.from_arrays(columns, ["n_sentences", "n_removed", "text"])
 
     kind = "struct<n_sentences: bigint, n_removed: bigint, text: string>"
-    left = text_expression(cut, kind)(F.col("a.text"), F.col("b.ranges")).alias("left")
-    return a.join(b, same, "left").select("a.doc", "a.doc_id", left)
+    text = F.col(f"doc._{docs.columns.index(text_col)}")
+    return marked.select("doc", "doc_id", text_expression(cut, kind)(text, F.col("ranges")).alias("left"))
 
 
 def without(found: Sentences, row: int, away: np.ndarray) -> str:

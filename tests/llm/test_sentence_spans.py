@@ -4,7 +4,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
+from pixelframe.llm import sentence_spans
 from pixelframe.llm.sentence_spans import remove_repeats, runs, sentences
+from pixelframe.llm.workers import map_slices
 
 GAP = re.compile(r"(?<=[.!?;:…])[ \t\n\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n[ \t\n\r\x0b\x0c]*|[ \t\r\x0b\x0c]+(?=\w)|(?<=[。！？])(?=\S)")
 
@@ -104,3 +107,29 @@ def test_sentences_of_odd_texts():
         firsts = found.first[found.rows[i] : found.rows[i + 1] + 1].tolist()
         got = [found.data[found.starts[a] : found.ends[b - 1]].tobytes().decode() for a, b in zip(firsts, firsts[1:])]
         assert got == [text[a:b] for a, b in sentence_bounds(text)], text
+
+
+def test_texts_that_stay_do_not_move(spark, monkeypatch):
+    stored = []
+
+    def recorded(df):
+        stored.append(df.columns)
+        return durable(df)
+
+    monkeypatch.setattr(sentence_spans, "durable", recorded)
+    df = spark.createDataFrame([(1, f"One. {PASSAGE}"), (2, f"Two. {PASSAGE}"), (3, "A text of its own.")], "doc_id bigint, text string")
+    plan = remove_repeats(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert stored[0] == ["h1"]  # runs are counted by half of their hash
+    assert "Union" in plan  # only texts that may lose a sentence meet what they lose
+
+
+def test_half_a_hash_decides_nothing(spark, monkeypatch):
+    rows = [(1, f"One. {PASSAGE}"), (2, f"Two. {PASSAGE}"), (3, "A quiet text. " * 12), (None, PASSAGE), (3, "Other words here. " * 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(str, remove_repeats(df, context=True).collect()))
+    monkeypatch.setattr(sentence_spans, "map_slices", with_equal_halves)
+    assert sorted(map(str, remove_repeats(df, context=True).collect())) == want
+
+
+def with_equal_halves(docs, run, schema, text):
+    return map_slices(docs, run, schema, text).withColumn("h1", F.lit(0).cast("bigint"))
