@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from pixelframe.workers import prepare
 
 
 def map_slices(
@@ -39,13 +38,6 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let workers find this package; executors need it at the same path or through ``--py-files``."""
-    environment = spark.sparkContext.environment
-    if _ROOT not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(x for x in (_ROOT, environment.get("PYTHONPATH")) if x)
-
-
 def text_expression(
     function: Callable[..., pa.Array], kind: str, slice_bytes: int = 1 << 20
 ) -> Callable[..., Column]:

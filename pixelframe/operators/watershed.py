@@ -4,100 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pixelframe.durable import discard, durable, durable_counted, spread
-from pixelframe.functions.arrays import bind, height, per_pixel, positions, power_of_two, width
+from pixelframe.functions.arrays import bind, height, positions, width
+from pixelframe.operators.distance import with_distances
 from pixelframe.operators.ranking import ordinal
 from pixelframe.operators.regions import (
-    _runs_of,
     component_runs,
     label_objects,
     mask_runs,
-    paint_runs,
     run_pixels,
 )
-
-FAR = 1 << 30
-
-
-def _vertical_distance(mask: Column) -> Column:
-    """Distance to the nearest background pixel in the same column, ``FAR`` if there is none.
-
-    Column runs are the line runs of the transposed mask; inside a run the distance is the
-    smaller of the steps to its two ends, and an end at the image edge does not count.
-    """
-    flipped = per_pixel(width(), height(), lambda x, y: F.get(mask, y * width() + x))
-
-    def values(run: Column) -> Column:
-        top = run["start"] % height() == 0
-        bottom = run["stop"] % height() == height() - 1
-        return F.transform(
-            F.sequence(run["start"], run["stop"]),
-            lambda i: F.least(
-                F.when(top, F.lit(FAR)).otherwise(i - run["start"] + 1),
-                F.when(bottom, F.lit(FAR)).otherwise(run["stop"] - i + 1),
-            ),
-        )
-
-    columns = bind(_runs_of(flipped, height()), lambda r: paint_runs(r, height() * width(), values, F.lit(0)))
-    return bind(columns, lambda g: per_pixel(height(), width(), lambda y, x: F.get(g, x * height() + y)))
-
-
-def _nearest_columns(line: Column) -> Column:
-    """For every place of a line of vertical distances, the column whose background pixel is nearest (the first of several).
-
-    These columns never fall from left to right. So they are found for every other place in turn, by halving strides,
-    and each is sought between those of its two neighbours: all searches of a stride pass over the line once.
-    """
-
-    def best(x: Column, first: Column, last: Column) -> Column:
-        def nearer(found: Column, c: Column) -> Column:
-            g = F.get(line, c).cast("double")
-            square = (c - x).cast("double") * (c - x) + g * g
-            return F.when(square < found["square"], F.struct(square.alias("square"), c.alias("column"))).otherwise(found)
-
-        none = F.struct(F.lit(float("inf")).alias("square"), first.cast("int").alias("column"))
-        return F.aggregate(F.sequence(first, last), none, nearer)["column"]
-
-    end = (F.size(line) - 1).cast("int")
-    strides = F.reverse(F.transform(positions(F.ceil(F.log2(F.size(line).cast("double"))).cast("int")), lambda k: power_of_two(k)))
-
-    def halved(known: Column, stride: Column) -> Column:
-        def at(i: Column) -> Column:
-            before = F.get(known, F.shiftright(i, 1))
-            after = F.coalesce(F.get(known, F.shiftright(i, 1) + 1), end)
-            return F.when(i % 2 == 0, before).otherwise(best(i * stride, before, after))
-
-        return F.transform(F.sequence(F.lit(0), F.floor(end / stride).cast("int")), at)
-
-    return F.aggregate(strides, F.array(best(F.lit(0), F.lit(0), end)), halved)
+from pixelframe.workers import prepare
 
 
 def distance_transform(planes: DataFrame, mask: str = "mask") -> DataFrame:
     """Adds ``distance``: exact Euclidean distance to the nearest background pixel.
 
-    Two passes inside the plane row, along columns and then along lines, where a pixel costs as many steps as a line
-    can be halved, however solid the mask is. A plane without any background has no defined distance and yields nulls.
+    Narrow: planes stay in their partitions and NumPy works on many of them at once, along columns and then along
+    lines, where a pixel costs as many steps as a line can be halved, however solid the mask is. A plane without any
+    background has no defined distance and yields nulls.
     """
-
-    def line_distances(line: Column) -> Column:
-        def at(columns: Column) -> Column:
-            def one(g: Column, x: Column) -> Column:
-                c = F.get(columns, x)
-                far = F.get(line, c).cast("double")
-                square = (c - x).cast("double") * (c - x) + far * far
-                return F.when(g == 0, F.lit(0.0)).when(far < FAR, F.sqrt(square))
-
-            return F.transform(line, one)
-
-        return bind(_nearest_columns(line), at)
-
-    def distances(g: Column) -> Column:
-        lines = F.transform(positions(height()), lambda y: bind(F.slice(g, y * width() + 1, width()), line_distances))
-        return F.flatten(lines)
-
-    distance = bind(F.col(mask), lambda m: bind(_vertical_distance(m), distances))
-    return planes.withColumn("distance", distance)
+    prepare(planes.sparkSession)
+    given = planes.drop("distance")
+    schema = StructType([*given.schema.fields, StructField("distance", ArrayType(DoubleType()))])
+    return given.mapInArrow(lambda batches: with_distances(batches, mask), schema)
 
 
 def peak_candidates(planes: DataFrame, min_distance: int = 8, ratio: float = 0.5) -> DataFrame:

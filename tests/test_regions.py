@@ -5,6 +5,7 @@ import pytest
 from conftest import disk
 
 from pixelframe.operators import compare, measure, regions, watershed
+from pixelframe.operators.distance import squares
 
 RNG = np.random.default_rng(5)
 
@@ -103,6 +104,26 @@ def test_distance_matches_brute_force(make_masks):
     assert np.allclose(np.array(row["distance"]).reshape(40, 40), want)
 
 
+def test_distances_of_many_planes_at_once():
+    rng = np.random.default_rng(2)
+    for n, h, w, share in ((9, 8, 8, 0.7), (3, 5, 1, 0.6), (3, 1, 9, 0.6), (4, 11, 17, 0.97), (2, 3, 3, 1.0)):
+        masks = rng.random((n, h, w)) < share
+        yy, xx = np.mgrid[:h, :w]
+        for mask, got in zip(masks, squares(masks)):
+            off = np.argwhere(~mask)
+            far = (yy[..., None] - off[:, 0]) ** 2 + (xx[..., None] - off[:, 1]) ** 2
+            assert (got == (far.min(-1) if len(off) else -1)).all()
+
+
+def test_distance_keeps_columns_and_fills_short_masks(spark):
+    rows = [(1, 2, 2, [True, False, True, True], "a"), (2, 1, 3, [True, None], None), (3, 2, 2, None, "c"), (4, 2, 2, [True] * 4, "d")]
+    df = spark.createDataFrame(rows, "image_id int, height int, width int, mask array<boolean>, note string").coalesce(1)
+    got = {r.image_id: r for r in watershed.distance_transform(df).collect()}
+    assert [got[k].note for k in (1, 2, 3, 4)] == ["a", None, "c", "d"] and got[2].mask == [True, None]
+    assert got[1].distance == [1.0, 0.0, 2**0.5, 1.0] and got[2].distance == [1.0, 0.0, 0.0]
+    assert got[3].distance is None and got[4].distance == [None] * 4
+
+
 def test_distance_of_odd_shapes(make_masks):
     """Single lines and columns, solid masks with one hole, masks without any background."""
     solid = np.ones((33, 50), bool)
