@@ -42,6 +42,24 @@ def inspect_image(planes: DataFrame) -> DataFrame:
 
     An optional ``channel_count`` column (from the file's shape) flags multi-channel sources.
     """
+    return with_inspection(planes).select(
+        "image_id",
+        "height",
+        "width",
+        "dtype",
+        "min_value",
+        "max_value",
+        "dynamic_range",
+        "mean_intensity",
+        "background_std",
+        "estimated_snr",
+        "channel_count",
+        "limitations",
+    )
+
+
+def with_inspection(planes: DataFrame) -> DataFrame:
+    """Planes with what :func:`inspect_image` finds beside their own columns; narrow."""
     channels = F.col("channel_count") if "channel_count" in planes.columns else F.lit(1)
 
     def measure(s: Column) -> Column:
@@ -79,20 +97,7 @@ def inspect_image(planes: DataFrame) -> DataFrame:
             F.when(F.greatest(height(), width()) > 4096, F.lit(LIMITATION_SIZE)),
         )
     )
-    return rated.withColumn("limitations", limitations).select(
-        "image_id",
-        "height",
-        "width",
-        "dtype",
-        "min_value",
-        "max_value",
-        "dynamic_range",
-        "mean_intensity",
-        "background_std",
-        "estimated_snr",
-        "channel_count",
-        "limitations",
-    )
+    return rated.withColumn("limitations", limitations)
 
 
 def vignette_expr() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.durable import durable
 from pixelframe.functions.arrays import bind
-from pixelframe.operators.histogram import otsu_value
+from pixelframe.operators.histogram import otsu_of, otsu_threshold
 from pixelframe.operators.pixelwise import normalize_robust
 from pixelframe.operators.regions import (
     fill_holes,
@@ -23,12 +23,12 @@ from pixelframe.operators.stats import (
     choose_method,
     estimate_block_size,
     foreground_fraction,
-    inspect_image,
     min_size_expr,
     offset_expr,
     sanity_warning,
     score_confidence,
     vignette_expr,
+    with_inspection,
 )
 from pixelframe.operators.stencil import (
     background_opening,
@@ -61,8 +61,9 @@ class AdaptiveResult:
 
 def _corrected(planes: DataFrame) -> DataFrame:
     """Background subtraction for shaded or weak images, blur for very weak ones."""
-    stats = inspect_image(planes).select("image_id", "estimated_snr", "limitations")
-    rated = planes.withColumn("vignette_score", vignette_expr()).join(stats, "image_id")
+    rated = with_inspection(planes.withColumn("vignette_score", vignette_expr())).select(
+        *planes.columns, "vignette_score", "estimated_snr", "limitations"
+    )
     snr = F.col("estimated_snr")
     use_ball = (F.col("vignette_score") >= 0.05) | F.coalesce(snr < 6.0, F.lit(False))
     flattened = bind(
@@ -169,12 +170,7 @@ def adaptive_segment(
     base = ["image_id", "height", "width", "dtype", "pixels"]
     corrected = durable(_corrected(good.select(*base)))
 
-    coarse = otsu_value(corrected).withColumnRenamed("threshold", "_t")
-    blocks = estimate_block_size(
-        corrected.join(coarse, "image_id").withColumn(
-            "mask", F.transform("pixels", lambda v: v > F.col("_t"))
-        )
-    ).drop("mask", "_t")
+    blocks = estimate_block_size(otsu_threshold(corrected)).drop("mask")
     tuned = blocks.withColumns(
         {
             "offset": offset_expr(),
@@ -182,11 +178,8 @@ def adaptive_segment(
             "primary": choose_method(F.col("estimated_snr"), F.col("vignette_score")),
         }
     )
-    normal = normalize_robust(tuned)
-    otsu = otsu_value(normal.select("image_id", "dtype", "pixels")).withColumnRenamed(
-        "threshold", "otsu"
-    )
-    chosen = durable(_pick_mask(normal.join(otsu, "image_id")))
+    normal = normalize_robust(tuned).withColumn("otsu", otsu_of(F.col("pixels"), F.col("dtype")))
+    chosen = durable(_pick_mask(normal))
 
     sizes = chosen.select("image_id", "min_size")
     opened = binary_opening(chosen)

@@ -3,6 +3,7 @@ import pytest
 from conftest import disk
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.plans import adaptive, pipeline
 from pixelframe.streaming import streams
 
@@ -110,3 +111,18 @@ def test_own_python_per_image(make_planes):
         "image_id string, total double",
     )
     assert {tuple(r) for r in double.collect()} == {("a", 8.0), ("b", 0.0)}
+
+
+def test_adaptive_planes_are_judged_where_they_lie(make_planes, monkeypatch):
+    plans = []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        if len(plans) == 2:
+            raise InterruptedError
+        return durable(df)
+
+    monkeypatch.setattr(adaptive, "durable", stored)
+    with pytest.raises(InterruptedError):
+        adaptive.adaptive_segment(make_planes({"a": np.eye(12) * 90}))
+    assert not any("Join" in plan for plan in plans)
