@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.durable import durable
 from pixelframe.operators.regions import count_objects, mask_runs
 from pixelframe.operators.stats import inspect_image
 
@@ -62,13 +63,14 @@ def compare_masks(a: DataFrame, b: DataFrame, objects: bool = True) -> DataFrame
     if not objects:
         return result
     for side, masked in (("a", a), ("b", b)):
-        counts = count_objects(masked, mask_runs(masked)).withColumnRenamed(
-            "object_count", f"object_count_{side}"
-        )
-        result = result.join(counts, "image_id", "left")
+        result = _with_count(result, count_objects(masked, mask_runs(masked)), side)
     return result
 
 
+def _with_count(compared: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    return compared.join(counts.withColumnRenamed("object_count", f"object_count_{side}"), "image_id", "left")
+
+
 def area_column(df: DataFrame) -> str | None:
     return next((c for c in AREA_COLUMNS if c in df.columns), None)
 
@@ -147,7 +149,8 @@ def validation_report(
 ) -> DataFrame:
     """One nested row per image: properties and every comparison whose inputs are given.
 
-    Measurements missing for a given mask are computed from that mask.
+    Measurements missing for a given mask are computed from that mask; its objects are then labelled once, for them and
+    for the object counts.
     """
     from pixelframe.operators.measure import measure_objects
     from pixelframe.operators.regions import label_objects
@@ -155,12 +158,18 @@ def validation_report(
     def measured(masked: DataFrame) -> DataFrame:
         pixels = planes.select("image_id", "pixels")
         with_pixels = masked.drop("pixels").join(pixels, "image_id")
-        return measure_objects(label_objects(mask_runs(with_pixels, intensity="pixels")))
+        return durable(measure_objects(label_objects(mask_runs(with_pixels, intensity="pixels"))))
+
+    def counted(masked: DataFrame, objects: DataFrame | None) -> DataFrame:
+        if objects is None:
+            return count_objects(masked, mask_runs(masked))
+        found = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("object_count"))
+        return masked.select("image_id").join(found, "image_id", "left").fillna(0, "object_count")
 
-    if measurements is None and mask is not None:
-        measurements = measured(mask)
-    if reference_measurements is None and reference_mask is not None:
-        reference_measurements = measured(reference_mask)
+    own = measured(mask) if measurements is None and mask is not None else None
+    own_reference = measured(reference_mask) if reference_measurements is None and reference_mask is not None else None
+    measurements = own if measurements is None else measurements
+    reference_measurements = own_reference if reference_measurements is None else reference_measurements
 
     inspected = inspect_image(planes)
     properties = F.struct(*[c for c in inspected.columns if c != "image_id"])
@@ -172,7 +181,11 @@ def validation_report(
         nested = F.struct(*[c for c in part.columns if c != "image_id"]).alias(name)
         return df.join(part.select("image_id", nested), "image_id", "left")
 
-    masks = compare_masks(mask, reference_mask) if mask is not None and reference_mask is not None else None
+    masks = None
+    if mask is not None and reference_mask is not None:
+        masks = compare_masks(mask, reference_mask, objects=False)
+        masks = _with_count(masks, counted(mask, own), "a")
+        masks = _with_count(masks, counted(reference_mask, own_reference), "b")
     both = measurements is not None and reference_measurements is not None
     outside = measurements is not None and external_measurements is not None
     report = attach(report, masks, "mask_comparison")

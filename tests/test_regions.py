@@ -3,6 +3,7 @@ from collections import deque
 import numpy as np
 import pytest
 from conftest import disk
+from pyspark.sql import functions as F
 
 from pixelframe.operators import compare, measure, regions, watershed
 from pixelframe.operators.distance import squares
@@ -235,3 +236,14 @@ def test_flood_forest_keeps_the_deepest_level(spark):
     for k in (1, 2, 3):
         own_part = reach([p for p, m in own.items() if m == k], lambda q: forest.get(q) == k)
         assert all(own_part[p] == everywhere[p] for p, m in forest.items() if m == k)
+
+
+def test_report_labels_each_mask_once(make_masks, monkeypatch):
+    mask = np.zeros((6, 6), bool)
+    mask[0, :2] = mask[4, 3:] = True
+    df = make_masks({"a": mask, "b": np.zeros((6, 6), bool)})
+    planes = df.select("image_id", "height", "width", F.lit("float64").alias("dtype"), F.transform("mask", lambda m: m.cast("double")).alias("pixels"))
+    monkeypatch.setattr(compare, "count_objects", None)  # counts come from the objects that were measured
+    got = {r.image_id: r for r in compare.validation_report(planes, df, df).collect()}
+    assert [got[k].mask_comparison.object_count_a for k in "ab"] == [2, 0]
+    assert got["a"].measurement_comparison.mean_area_b == 2.5
