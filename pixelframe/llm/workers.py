@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,15 @@ from pyspark.sql import functions as F
 
 from pixelframe.workers import prepare
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
+def release() -> None:
+    """Give freed memory back: workers live on, idle, beside those of other stages, and NumPy's pieces stay in the heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
 
 def map_slices(
     df: DataFrame,
@@ -26,14 +36,17 @@ def map_slices(
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = part = out = None
         try:
             for batch in batches:
                 for part in slices(batch, text, slice_bytes):
                     out = function(part)
                     if out is not None:
                         yield out
+                release()
         finally:
-            pa.default_memory_pool().release_unused()  # the worker lives on, idle, beside other stages
+            del batch, part, out
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -64,7 +77,7 @@ def _parts(slice_bytes: int, *columns: pa.Array) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(parts: list[pa.Array]) -> pa.Array:
-    pa.default_memory_pool().release_unused()
+    release()
     return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
