@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelframe import workers
-from pixelframe.llm.workers import map_slices, text_expression
+from pixelframe.llm.workers import _joined, map_slices
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -32,21 +32,14 @@ def test_a_worker_is_sent_a_few_mb_at_once(spark):
         spark.conf.unset(SETTING) if before is None else spark.conf.set(SETTING, before)
 
 
-def test_a_worker_gives_back_what_its_slices_took(spark):
-    def kept(texts: pa.Array) -> pa.Array:
-        pieces = [np.ones(12_000) for _ in range(800)]  # each below malloc's threshold for pages of its own
-        pin = pieces[-1]
-        del pieces
-        held.append(pin)
-        return pa.array([0] * len(texts), pa.int64())
+def resident_mb():
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
 
-    held = []
-    texts = spark.range(0, 1, numPartitions=1).select(F.lit("x").alias("text"))
 
-    def anonymous(batch: pa.RecordBatch) -> pa.RecordBatch:
-        status = re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())
-        return pa.RecordBatch.from_arrays([pa.array([int(status[1]) >> 10], pa.int64())], ["mb"])
-
-    started = map_slices(texts, anonymous, "mb bigint").first().mb
-    texts.select(text_expression(kept, "bigint")(F.col("text"))).collect()
-    assert map_slices(texts, anonymous, "mb bigint").first().mb < started + 40
+def test_a_slice_gives_back_what_it_took():
+    pieces = [np.ones(1_000) for _ in range(20_000)]  # 160 MB, each below malloc's threshold for pages of its own
+    pins = pieces[::2000] + pieces[-1:]  # so the heap cannot shrink from its end
+    full = resident_mb()
+    del pieces
+    _joined([pa.array([0])])
+    assert len(pins) == 11 and resident_mb() < full - 100
